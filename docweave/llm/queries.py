@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docweave.llm import form
+from docweave.llm import form, templates
 
 
 def queries() -> dict:
-    return {"p5_found": form.p5_found, "p5_forms": form.p5_forms}
+    return {"p1_found": templates.p1_found, "p1_clean": templates.p1_clean, "p5_found": form.p5_found, "p5_forms": form.p5_forms}
 
 
 def oracle_sql() -> dict[str, str]:
