@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docweave.llm import form, knn, neardup, split, templates
+from docweave.llm import form, knn, neardup, pii, split, templates
 
 
 def queries() -> dict:
-    return {"p1_found": templates.p1_found, "p1_clean": templates.p1_clean, "p2_found": neardup.p2_found, "p2_classes": neardup.p2_classes, "p4_found": knn.p4_found, "p5_found": form.p5_found, "p5_forms": form.p5_forms, "p6_found": split.p6_found, "p6_pieces": split.p6_pieces}
+    return {"p1_found": templates.p1_found, "p1_clean": templates.p1_clean, "p2_found": neardup.p2_found, "p2_classes": neardup.p2_classes, "p4_found": knn.p4_found, "p5_found": form.p5_found, "p5_forms": form.p5_forms, "p6_found": split.p6_found, "p6_pieces": split.p6_pieces, "p9_found": pii.p9_found, "p9_redacted": pii.p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
