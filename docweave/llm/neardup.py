@@ -182,8 +182,9 @@ def _pairs_of_postings(two_sided: bool, longest: int):
 
 def colliding(signed_rows: DataFrame, two_sided: bool = False, longest: int = LIST) -> DataFrame:
     """(a, b): set ids that collide in at least one coordinate, with the number of their collisions."""
-    posts = signed_rows.where("sig IS NOT NULL").select(F.explode("sig").alias("key"), F.col("set_id").alias("id"), "side")
-    out = materialize(posts.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs_of_postings(two_sided, longest), "a bigint, b bigint, key bigint, side int"), "pairs")
+    posts = signed_rows.where("sig IS NOT NULL").select(F.explode("sig").alias("key"), F.col("set_id").alias("id"), *(["side"] if two_sided else []))
+    posts = posts.repartition("key").sortWithinPartitions("key", "id")
+    out = materialize((posts if two_sided else posts.withColumn("side", F.lit(0))).mapInArrow(_pairs_of_postings(two_sided, longest), "a bigint, b bigint, key bigint, side int"), "pairs")
     pairs = out.where("b IS NOT NULL").select("a", "b")
     hot = out.where("b IS NULL").select("key", F.col("a").alias("id"), "side").distinct()
     if not out.where("b IS NULL").isEmpty():  # lists over the limit: every two blocks of a list meet in one group
@@ -210,12 +211,12 @@ def similar_sets(signed_rows: DataFrame, threshold: float = 0.8, two_sided: bool
 
 def record_pairs(signed_rows: DataFrame, sets: DataFrame, two_sided: bool = False) -> DataFrame:
     """Pairs of keys: the members of similar sets and, on one side, the members of one set."""
-    members = signed_rows.select("key", "set_id").distinct()
+    members = signed_rows.select("key", "set_id")  # a key may come again: the pairs are made distinct at the end
     a, b = members.select(F.col("set_id").alias("a"), F.col("key").alias("x")), members.select(F.col("set_id").alias("b"), F.col("key").alias("y"))
     pairs = sets.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
     if not two_sided:
-        many = members.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select("set_id")
-        m = materialize(members.join(many, "set_id", "left_semi"), "copies")
+        many = signed_rows.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select("set_id")
+        m = materialize(members.join(many, "set_id", "left_semi").distinct(), "copies")
         pairs = pairs.union(m.select("set_id", F.col("key").alias("x")).join(m.select("set_id", F.col("key").alias("y")), "set_id").where("x < y").select("x", "y"))
     return pairs.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
