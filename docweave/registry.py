@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from docweave.functions import packed
+from docweave.plans import queries as core
 
 
 def queries() -> dict:
-    return {"p3_found": packed.p3_found}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)

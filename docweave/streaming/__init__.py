@@ -1 +1,106 @@
-"""streaming of the engine."""
+"""Structured Streaming: incremental ingest, task status, day counts."""
+
+from __future__ import annotations
+
+import json
+import os
+import uuid
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from docweave.session import shared_dir, ship
+
+ACTIVE = ("uploading", "queued", "processing")
+
+
+def parquet_stream(spark: SparkSession, sf_dir: str, table: str, files_at_once: int = 1) -> DataFrame:
+    """A table's files as a stream, a few a trigger."""
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    local = path.removeprefix("file://")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path if os.path.isdir(local) else f"{sf_dir}/{table}.parque[t]")
+
+
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and read back what it wrote, from the shared folder. In update mode a later batch's rows come beside earlier ones, told apart by batch_id."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/docweave/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch_id", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")  # a batch that runs again replaces itself
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    schema = stream.withColumn("batch_id", F.lit(0)).schema
+    return spark.read.schema(schema).parquet(f"{base}/out/*")
+
+
+def latest_status(tasks: DataFrame) -> DataFrame:
+    """Of each task its latest status, on a batch or (update mode) a stream; late and repeated rows change nothing."""
+    t = tasks.groupBy("task_id").agg(F.max(F.struct("ts", "status")).alias("m"), F.max(F.trim("sosok")).alias("sosok"), F.max(F.trim("site")).alias("site"), F.countDistinct("ts", "status").alias("events") if not tasks.isStreaming else F.lit(None).cast("long").alias("events"))
+    return t.select("task_id", "sosok", "site", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"), "events")
+
+
+def status_changes(tasks: DataFrame) -> DataFrame:
+    """The stream of a site's changes: (channel, task_id, status, ts, active), one row when a task's known latest status moves on; state is a site's open tasks.
+
+    Finished tasks leave the state, so it holds what is under way and no more; what comes for them later is older than their end and shows as a change only if it is newer.
+    """
+
+    def each(key, frames, state: GroupState):
+        known = json.loads(state.get[0]) if state.exists else {}
+        rows = []
+        for f in frames:
+            for task, status, ts in f.sort_values("ts")[["task_id", "status", "ts"]].itertuples(index=False):
+                old = known.get(task)
+                if old and old[1] >= ts.isoformat():
+                    continue
+                if not old or old[0] != status:
+                    rows.append((key[0], task, status, ts, status in ACTIVE))
+                known[task] = [status, ts.isoformat()]
+        state.update((json.dumps(known),))
+        yield pd.DataFrame(rows, columns=["channel", "task_id", "status", "ts", "active"])
+
+    keyed = tasks.where("site IS NOT NULL").withColumn("channel", F.concat_ws("_", F.trim("sosok"), F.trim("site"))).select("channel", "task_id", "status", "ts")
+    return keyed.groupBy("channel").applyInPandasWithState(each, "channel string, task_id string, status string, ts timestamp, active boolean", "known string", "append", GroupStateTimeout.NoTimeout)
+
+
+def uploads_per_day(tasks: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """Uploads begun by day, in event time; days close once the watermark has passed them."""
+    u = tasks.where("status = 'uploading'").withWatermark("ts", lateness)
+    return u.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("uploads")).select(F.to_date("window.start").alias("day"), "uploads")
+
+
+def incremental_ingest(stored: DataFrame, parse: Callable[[DataFrame], DataFrame], append: Callable[[DataFrame], None], report: Callable[[DataFrame], None]):
+    """A batch function for foreachBatch: files are parsed, good rows appended, and every file reported as done or failed; a bad file fails alone."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        rows = parse(batch).persist()
+        append(rows.where("error IS NULL"))
+        report(rows.groupBy("file_id").agg(F.max("error").alias("message"), F.count(F.when(F.col("error").isNull(), 1)).alias("rows")).withColumn("status", F.when(F.col("message").isNull() & (F.col("rows") > 0), "success").otherwise("failed")))
+        rows.unpersist()
+
+    return stored.writeStream.foreachBatch(each)
+
+
+def sse_parts(lines: DataFrame) -> DataFrame:
+    """The text of a model's event lines (stream_id, seq, line): what follows "data: ", up to [DONE], from the choice's delta; lines that aren't JSON are skipped."""
+    d = lines.where(F.col("line").startswith("data: ")).withColumn("body", F.trim(F.substring("line", 7, 2**30)))
+    end = d.where("body = '[DONE]'").groupBy("stream_id").agg(F.min("seq").alias("end"))
+    d = d.join(end, "stream_id", "left").where("end IS NULL OR seq < end")
+    delta = F.from_json("body", "choices ARRAY<STRUCT<delta: STRUCT<content: STRING, tool_calls: ARRAY<STRUCT<index: INT, function: STRUCT<name: STRING, arguments: STRING>>>>>>")
+    return d.withColumn("delta", F.get(delta.choices, 0).delta).select("stream_id", "seq", F.col("delta.content").alias("content"), F.col("delta.tool_calls").alias("tool_calls"))
+
+
+def tool_calls(parts: DataFrame) -> DataFrame:
+    """Tool calls put together from their parts: a call is whole when its arguments are JSON; others are left out."""
+    p = parts.select("stream_id", "seq", F.explode("tool_calls").alias("c"))
+    args = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("c.function.arguments", F.lit("")).alias("a")))), lambda x: x.a), "")
+    g = p.groupBy("stream_id", F.coalesce("c.index", F.lit(0)).alias("call")).agg(F.max("c.function.name").alias("name"), args.alias("arguments"))
+    return g.where(F.try_parse_json("arguments").isNotNull())
+
+
+ship(__name__)
