@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import sse_frame
 from docweave.operators.access import Principal, can_see
 from docweave.operators.catalog import has_all_tags, named, split_request
+from docweave.session import ship, spread
 
 TOP = 4
 
@@ -22,6 +23,32 @@ def cosine(vector: Column, query: list[float]) -> Column:
     return F.when(F.size(vector) == 0, F.lit(0.0)).when(F.size(vector) == len(query), sums)
 
 
+def scored(df: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
+    """df with ``score`` in place of the vector, for the vectors that have one; the same values as ``cosine``, a batch at a time as matrix products."""
+    kept = [c for c in df.columns if c != vector]
+    schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias("score")).schema
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q = np.array(query, np.float64)
+        for b in batches:
+            v = b.column(vector)
+            v = v.fill_null([]) if v.null_count else v
+            at, values = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            n = np.diff(at)
+            rows = np.flatnonzero(n == len(q))
+            m = values[at[rows][:, None] + np.arange(len(q))] if len(rows) else np.empty((0, len(q)))
+            with np.errstate(all="ignore"):
+                s = (m @ q) / (np.sqrt((m * m).sum(1)) * np.sqrt(q @ q))
+            good = np.isfinite(s)
+            rows, s = rows[good], s[good]
+            yield pa.RecordBatch.from_arrays([*b.select(kept).take(pa.array(rows)).columns, pa.array(s)], [*kept, "score"])
+
+    return df.where(F.size(vector) == len(query)).withColumn(vector, F.col(vector).cast("array<double>")).mapInArrow(each, schema)
+
+
 def matching(chunks: DataFrame, who: Principal, tags: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """Rows that the caller may see, with all tags and one of the names."""
     return chunks.where(can_see(who.stripped()) & has_all_tags(split_request(tags)) & named(split_request(names)))
@@ -29,8 +56,7 @@ def matching(chunks: DataFrame, who: Principal, tags: list[str] | None = None, n
 
 def search(chunks: DataFrame, query: list[float], who: Principal, tags: list[str] | None = None, names: list[str] | None = None, n: int = TOP) -> DataFrame:
     """The n most similar matching chunks; ties go to the smaller doc_id. Only ids and scores are sorted before the rest is looked at."""
-    found = matching(chunks, who, tags, names).where(F.size("embedding") > 0).withColumn("score", cosine(F.col("embedding"), query)).where(F.col("score").isNotNull() & ~F.isnan("score"))
-    # A chunk that was delivered again has the same score: 2 n rows hold n chunks unless one came more than twice, which the aggregate before the limit rules out.
+    found = scored(spread(matching(chunks, who, tags, names).select("doc_id", "embedding")), query)
     best = found.groupBy("doc_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
     fields = ["doc_id", "file_id", "original_filename", "tags", "sosok", "site", "section_title", "section_id", "page_number", "content"]
     rows = chunks.select(*fields).join(F.broadcast(best), "doc_id").dropDuplicates(["doc_id"])  # n rows
@@ -70,3 +96,6 @@ def answer(found: DataFrame, question: str, generate) -> DataFrame:
 
     frames = prompt(found, question).select("prompt").mapInArrow(each, "seq int, text string").select("seq", sse_frame(F.col("text")).alias("frame"))
     return frames.union(frames.sparkSession.range(1).select(F.lit(2**31 - 1).alias("seq"), F.lit("data: [DONE]\n\n").alias("frame")))
+
+
+ship(__name__)

@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.session import ship
@@ -179,16 +179,32 @@ def split_outline(text: str) -> list[dict]:
 
 
 def sections(pages: DataFrame, compat: bool = False, flowing: bool = False) -> DataFrame:
-    """(file_id, seq, title, section_id, content, start_page) of pages (file_id, page_num, text): state runs over a document's headings, so each document is one group."""
+    """(file_id, seq, title, section_id, content, start_page) of pages (file_id, page_num, text): state runs over a document's headings, so pages stream by document, one document in memory at a time."""
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("page_num")
-        texts = [t or "" for t in g["text"]]
+    def rows(file_id: str, texts: list[str]):
         found = split_outline("\n".join(texts)) if flowing else split_sections(texts, compat=compat)
-        rows = [(g["file_id"].iloc[0], i, s["title"], s["section_id"], s["content"], s["start_page"]) for i, s in enumerate(found, 1)]
-        return pd.DataFrame(rows, columns=["file_id", "seq", "title", "section_id", "content", "start_page"])
-
-    return pages.select("file_id", "page_num", "text").groupBy("file_id").applyInPandas(each, "file_id string, seq int, title string, section_id string, content string, start_page int")
+        return [(file_id, i, s["title"], s["section_id"], s["content"], s["start_page"]) for i, s in enumerate(found, 1)]
+
+    def each(batches):
+        file_id, texts = None, []
+
+        def batch_of(out):
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["file_id", "seq", "title", "section_id", "content", "start_page"])
+
+        for b in batches:
+            out = []
+            for f, t in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if f != file_id:
+                    out += rows(file_id, texts) if texts else []
+                    file_id, texts = f, []
+                texts.append(t or "")
+            yield batch_of(out)
+        if texts:
+            yield batch_of(rows(file_id, texts))
+
+    p = pages.where("file_id IS NOT NULL").select("file_id", "page_num", "text").repartition("file_id").sortWithinPartitions("file_id", "page_num")
+    return p.mapInArrow(each, "file_id string, seq int, title string, section_id string, content string, start_page int")
 
 
 ship(__name__)

@@ -10,7 +10,7 @@ from docweave.functions import packed
 from docweave.functions.text import clean_cell, is_number, similarity, sse_frame, uptime_text
 from docweave.operators import catalog, chunk, layout, search, sections, stats, tables
 from docweave.operators.access import ADMIN, Principal, can_see
-from docweave.session import strip_blanks, table
+from docweave.session import spread, strip_blanks, table
 
 ANYONE = Principal(ADMIN, ADMIN)
 DEPARTMENT = Principal("항로지원부", "항로지원부_전체")
@@ -81,8 +81,8 @@ def name_filter(spark, d):
 
 @query("cosine_topk", f"WITH s AS (SELECT DISTINCT doc_id, round(list_cosine_similarity(embedding::DOUBLE[], {Q}), 4) AS score FROM (SELECT * FROM chunks WHERE {USABLE})) SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10")
 def cosine_topk(spark, d):
-    s = chunks(spark, d).select("doc_id", F.round(search.cosine(F.col("embedding"), VECTOR), 4).alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
-    return s.where("score <> 0").union(s.where("score = 0")).groupBy("doc_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+    s = search.scored(spread(chunks(spark, d).select("doc_id", "embedding")), VECTOR)
+    return s.groupBy("doc_id").agg(F.max(F.round("score", 4)).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 def _found(where: str, n: int = 4) -> str:
