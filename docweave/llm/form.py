@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.session import materialize, once, ship, site_key, table
+from docweave.session import materialize, once, ship, site_key, spread, table
 
 # Letters of other scripts that look like a Latin letter, and dashes that look like "-".
 LOOK_ALIKES = {
@@ -191,7 +191,7 @@ def stored_names(chunks: DataFrame) -> DataFrame:
 
 def bodies(chunks: DataFrame) -> DataFrame:
     """(doc_id, body) with LF for CR LF."""
-    return chunks.where("content IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.regexp_replace(body_of(F.col("content")), "\r\n", "\n").alias("body"))
+    return spread(chunks.where("content IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "content")).select("doc_id", F.regexp_replace(body_of(F.col("content")), "\r\n", "\n").alias("body"))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.session import materialize, ship, table
+from docweave.session import materialize, ship, spread, table
 
 SEED = 7_041
 WINDOWS, COLLISIONS = 32, 14
@@ -103,7 +103,7 @@ def indexed(df: DataFrame, key: str, vector: str, dim: int, signs: int, probes:
                 ["key", "vid", "cell", "probes", "code", "vec"],
             )
 
-    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<float>"))
+    rows = spread(df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<float>")))
     return rows.mapInArrow(each, "key string, vid bigint, cell bigint, probes array<bigint>, code binary, vec binary")
 
 

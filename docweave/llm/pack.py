@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.tokens import VOCABULARY, with_tokens
-from docweave.session import materialize, ship, table
+from docweave.session import materialize, ship, spread, table
 
 BINS, DEPTH, BUCKETS = 512, 3, 64
 
@@ -190,7 +190,7 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
 
 
 def sized_documents(spark, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    return materialize(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", vocabulary=vocabulary), "sizes")
+    return materialize(with_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "text", vocabulary=vocabulary), "sizes")
 
 
 def p7_packed(spark, sf_dir: str) -> DataFrame:

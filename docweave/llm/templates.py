@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.form import connect, pieces, run_forms
-from docweave.session import materialize, ship, site_key, table
+from docweave.session import materialize, ship, site_key, spread, table
 
 DEPTH = 4
 SLOT = "\ufffd"
@@ -70,7 +70,7 @@ def parsed(chunks: DataFrame, doc: str = "doc_id", text: str = "content") -> Dat
                     out.append([tree.add(source, s) if (s := line.strip(" ")) else 0 for line in (form or '').split(MARK)])
                 yield pa.RecordBatch.from_arrays([r.column(doc).combine_chunks(), r.column("source").combine_chunks(), r.column("file_id").combine_chunks(), pa.array(out, pa.list_(pa.int64()))], [doc, "source", "file_id", "templates"])
 
-    return chunks.select(doc, "source", "file_id", text).mapInArrow(each, schema)
+    return spread(chunks.select(doc, "source", "file_id", text)).mapInArrow(each, schema)
 
 
 def repeated_templates(lines: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:
