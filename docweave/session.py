@@ -47,6 +47,11 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, kept: list[str], name: str, kind: str):
+    """The schema of df's kept columns and a new one, which may hold NULL."""
+    return df.select(*(F.col(f"`{c}`") for c in kept)).schema.add(name, kind, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores (small, or one file) laid out over all of them, before work that Python does row by row. Larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

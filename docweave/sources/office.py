@@ -29,7 +29,9 @@ def local(tag: str) -> str:
 
 
 def _numbered(names: list[str], pattern: str) -> list[str]:
-    return [n for _, n in sorted((int(m[1]), n) for n in names if (m := re.fullmatch(pattern, n)))]
+    """The names that match, by the number in them."""
+    found = [m for n in names if (m := re.fullmatch(pattern, n))]
+    return [m[0] for m in sorted(found, key=lambda m: int(m[1]))]
 
 
 def docx_paragraphs(data: bytes) -> Iterator[tuple[int | None, str]]:
