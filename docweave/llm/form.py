@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.session import materialize, once, ship, site_key, spread, table
+from docweave.session import materialize, once, schema_with, ship, site_key, spread, table
 
 # Letters of other scripts that look like a Latin letter, and dashes that look like "-".
 LOOK_ALIKES = {
@@ -144,7 +144,7 @@ def with_form(df: DataFrame, column: str, out: str = "form", expr: str = "form",
     if out in df.columns:
         raise ValueError(f"there is a column {out} already")
     kept = [c for c in df.columns if keep_text or c != column]
-    schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit("").alias(out)).schema
+    schema = schema_with(df, kept, out, "string")
 
     def each(batches):
         con = connect()
@@ -163,9 +163,10 @@ def equal_looking(df: DataFrame, key: str, text: str, by: list[str] = ()) -> Dat
     spelling are never paired, so a group of exact copies costs nothing by itself.
     NULL text joins no pair. Repeated keys count once.
     """
-    h = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, *by, text, F.md5(text).alias("t"))
-    h = with_form(h, text, "f", "md5(form)", keep_text=False).distinct()
-    return variant_pairs(h, key, by)
+    names = [f"_by{i}" for i in range(len(by))]  # names of the caller's columns must not meet ours
+    h = df.where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    h = h.select(F.col(key).alias("_key"), *(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.col(text).alias("_text"), F.md5(text).alias("t"))
+    return variant_pairs(with_form(h, "_text", "f", "md5(form)", keep_text=False).distinct(), "_key", names)
 
 
 def variant_pairs(h: DataFrame, key: str, by: list[str] = ()) -> DataFrame:

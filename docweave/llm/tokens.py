@@ -6,9 +6,8 @@ import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docweave.session import ship
+from docweave.session import schema_with, ship
 
 VOCABULARY = os.environ.get("DOCWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
@@ -46,7 +45,7 @@ def with_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: str
     if out in df.columns:
         raise ValueError(f"there is a column {out} already")
     kept = [c for c in df.columns if c != text]
-    schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0).cast("long").alias(out)).schema
+    schema = schema_with(df, kept, out, "bigint")
 
     def each(batches):
         sizes = Sizes(vocabulary)
