@@ -45,7 +45,7 @@ def with_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: str
     if out in df.columns:
         raise ValueError(f"there is a column {out} already")
     kept = [c for c in df.columns if c != text]
-    schema = schema_with(df, kept, out, "bigint")
+    schema = schema_with(df, kept, out, "long")
 
     def each(batches):
         sizes = Sizes(vocabulary)

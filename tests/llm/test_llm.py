@@ -283,3 +283,11 @@ def test_nothing_else_imports_this():
 
     root = pathlib.Path(form.__file__).parent.parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "docweave.llm" in p.read_text()]
+
+
+def test_with_tokens(spark):
+    d = spark.createDataFrame([(1, "가나 12"), (2, None), (3, ""), (1, "가나 12")], "id int, text string")
+    n = sorted((r.id, r.n_tokens) for r in tokens.with_tokens(d, "text").collect())
+    assert n[0] == n[1] and n[0][1] > 2 and n[2:] == [(2, None), (3, 0)]
+    with pytest.raises(ValueError):
+        tokens.with_tokens(d, "text", "id")
