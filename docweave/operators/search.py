@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import sse_frame
 from docweave.operators.access import Principal, can_see
-from docweave.operators.catalog import has_all_tags, named, split_request
+from docweave.operators.catalog import has_all_tags, named, split_request, where_equal
 from docweave.session import ship, spread
 
 TOP = 4
@@ -63,6 +63,12 @@ def search(chunks: DataFrame, query: list[float], who: Principal, tags: list[str
     return rows.select(*fields, F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id")
 
 
+def similar(chunks: DataFrame, query: list[float], filters: dict | None = None, n: int = 10) -> DataFrame:
+    """The n most similar chunks under metadata equalities: (doc_id, similarity_score)."""
+    found = scored(spread(where_equal(chunks, filters or {}).select("doc_id", "embedding")), query)
+    return found.groupBy("doc_id").agg(F.max("score").alias("similarity_score")).orderBy(F.desc("similarity_score"), "doc_id").limit(n)
+
+
 def search_counts(chunks: DataFrame, who: Principal, tags: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """How many chunks match, with a vector or not."""
     return matching(chunks, who, tags, names).agg(F.countDistinct("doc_id").alias("total_matched"), F.countDistinct(F.when(F.size("embedding") > 0, F.col("doc_id"))).alias("with_vector"))

@@ -11,6 +11,7 @@ from docweave.functions.text import clean_cell, is_number, similarity, sse_frame
 from docweave.operators import catalog, chunk, layout, search, sections, stats, tables
 from docweave.operators.access import ADMIN, Principal, can_see
 from docweave.session import spread, strip_blanks, table
+from docweave.sources import office
 
 ANYONE = Principal(ADMIN, ADMIN)
 DEPARTMENT = Principal("항로지원부", "항로지원부_전체")
@@ -85,6 +86,15 @@ def cosine_topk(spark, d):
     return s.groupBy("doc_id").agg(F.max(F.round("score", 4)).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@query(
+    "similar_with_filters",
+    f"WITH s AS (SELECT DISTINCT doc_id, round(list_cosine_similarity(embedding::DOUBLE[], {Q}), 6) AS similarity_score FROM (SELECT * FROM chunks WHERE {USABLE} AND sosok IN ('통신정비부', '시설관리부') AND section_number = 1)) SELECT * FROM s ORDER BY similarity_score DESC, doc_id LIMIT 10",
+)
+def similar_with_filters(spark, d):
+    s = search.similar(chunks(spark, d), VECTOR, {"sosok": ["통신정비부", "시설관리부"], "section_number": 1})
+    return s.select("doc_id", F.round("similarity_score", 6).alias("similarity_score"))
+
+
 def _found(where: str, n: int = 4) -> str:
     return f"""WITH u AS (SELECT * FROM chunks WHERE {USABLE} AND {where}),
         s AS (SELECT DISTINCT ON (doc_id) *, list_cosine_similarity(embedding::DOUBLE[], {Q}) AS score FROM u ORDER BY doc_id)
@@ -278,6 +288,26 @@ def token_windows_with_pages(spark, d):
     return chunk.token_windows(file_pages(spark, d))
 
 
+@query(
+    "pages_joined",
+    f"WITH {ONCE} SELECT file_id, coalesce(page_number, 1) AS page_num, string_agg(section_title, chr(10) ORDER BY section_number, section_title) AS text FROM c WHERE section_title IS NOT NULL AND section_number IS NOT NULL GROUP BY file_id, coalesce(page_number, 1)",
+)
+def pages_joined(spark, d):
+    """Paragraphs brought together by page, as for files whose reader gives page numbers."""
+    c = catalog.once_each(chunks(spark, d).where("section_number IS NOT NULL"), "file_id", "section_number", "page_number", "section_title")
+    return office.by_page(c.select("file_id", F.col("section_number").alias("seq"), F.col("page_number").alias("page_num"), F.col("section_title").alias("text")))
+
+
+@query("manual_routing", rf"SELECT doc_id, coalesce(starts_with(regexp_replace(string_split(regexp_replace(text, '^{BLANK}+', ''), chr(10))[1], '{BLANK}+', '', 'g'), '유지보수교범'), false) AS manual FROM documents")
+def manual_routing(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(catalog.is_manual(F.col("text")), F.lit(False)).alias("manual"))
+
+
+@query("usable_vectors", f"SELECT DISTINCT doc_id FROM chunks WHERE {USABLE}")
+def usable_vectors(spark, d):
+    return search.scored(chunks(spark, d).select("doc_id", "embedding"), VECTOR).select("doc_id").distinct()
+
+
 @query("embedded_sections")
 def embedded_sections(spark, d):
     p = file_pages(spark, d)
@@ -425,6 +455,23 @@ def manual_sections(spark, d):
     return sections.sections(p).withColumn("mode", F.lit("manual")).union(sections.sections(p, flowing=True).withColumn("mode", F.lit("flowing")))
 
 
-@query("p3_found")
+# Soft delimiters become private-use characters first (twice, as two may share a blank); within quotes they are turned back.
+HARD = "".join(f"\\x{{{ord(c):x}}}" for c in packed.HARD)
+THIN = r"[ \x{a0}\p{Zs}]*"
+MARKED = "\ue000\ue001\ue002\ue003\ue004"
+SOFTENED = "tags"
+for _c, _to in zip(packed.SOFT, MARKED, strict=True):
+    for _ in range(2):
+        SOFTENED = rf"regexp_replace({SOFTENED}, '({BLANK}){_c}({BLANK})', '\1{_to}\2', 'g')"
+QUOTED = "\"(?:[^\"]|\"\")*\"|''(?:[^'']|'''')*''|“(?:[^”]|””)*”"
+
+
+@query(
+    "p3_found",
+    rf"""WITH f AS (SELECT file_id, min(tags) AS tags FROM chunks WHERE file_id IS NOT NULL AND tags IS NOT NULL GROUP BY file_id),
+    t AS (SELECT file_id, list_transform(regexp_extract_all({SOFTENED} || ',', '(?:{THIN}(?:{QUOTED}){THIN}|[^{HARD}{MARKED}]*)[{HARD}{MARKED}]'), lambda x: {strip("x[:-2]")}) AS l FROM f),
+    v AS (SELECT file_id, list_filter(list_transform(l, lambda x: CASE WHEN regexp_full_match(x, '{QUOTED}') THEN translate(replace(x[2:-2], CASE WHEN x[1] = '“' THEN '””' ELSE x[1] || x[1] END, CASE WHEN x[1] = '“' THEN '”' ELSE x[1] END), '{MARKED}', '{packed.SOFT}') ELSE x END), lambda x: {strip("x")} <> '') AS l FROM t)
+    SELECT file_id, unnest(l) AS tag, generate_subscripts(l, 1)::INT AS tag_no FROM v""",
+)
 def p3_found(spark, d):
     return packed.p3_found(spark, d)
