@@ -10,4 +10,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    blank = r"[\s\x0b\x{85}\p{Z}]"
+    return {
+        "p6_found": f"SELECT DISTINCT doc_id FROM chunks WHERE len(list_filter(regexp_split_to_array(content, '{blank}+'), lambda w: w <> '')) > 700",
+    }
