@@ -325,11 +325,11 @@ def repeated_first_lines(spark, d):
 
 @query("similar_titles")
 def similar_titles(spark, d):
-    """Sections of one file whose titles are nearly the same."""
-    c = catalog.once_each(chunks(spark, d), "file_id", "section_title")
-    a, b = c.alias("a"), c.alias("b")
-    j = a.join(b, (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return j.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), similarity(F.col("a.section_title"), F.col("b.section_title")).alias("similarity")).where("similarity > 0.85")
+    """Sections whose titles are nearly that of the section before, in one file; neighbours only, so the work is linear."""
+    c = catalog.once_each(chunks(spark, d), "file_id", "section_number", "section_title")
+    w = Window.partitionBy("file_id").orderBy(F.col("section_number").asc_nulls_last(), "doc_id")
+    c = c.withColumn("before", F.lag("section_title").over(w))
+    return c.select("doc_id", "section_title", "before", similarity(F.col("section_title"), F.col("before")).alias("similarity")).where("similarity > 0.85")
 
 
 @query("sha256_dedupe", f"SELECT sha256({strip('text')}) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")

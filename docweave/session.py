@@ -47,6 +47,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what ``materialize`` has written, once no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docweave")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def schema_with(df: DataFrame, kept: list[str], name: str, kind: str):
     """The schema of df's kept columns and a new one, which may hold NULL."""
     return df.select(*(F.col(f"`{c}`") for c in kept)).schema.add(name, kind, True)

@@ -147,3 +147,13 @@ def test_text_functions(spark):
     assert [tuple(x) for x in m] == [("system", "be"), ("user", "q1\nq2")]
     keys = spark.createDataFrame([("1.10",), ("1.2",), ("1",), ("1.2.1",), ("제 1 장",)], "s string").orderBy(text.section_key(F.col("s"))).collect()
     assert [x.s for x in keys] == ["1", "1.2", "1.2.1", "1.10", "제 1 장"]
+
+
+def test_materialized_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from docweave.session import clear_shared, materialize, shared_dir
+
+    assert materialize(spark.range(3)).count() == 3
+    clear_shared(spark)
+    assert not Path(shared_dir(spark).removeprefix("file://"), "docweave").exists()
