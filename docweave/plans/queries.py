@@ -323,13 +323,13 @@ def repeated_first_lines(spark, d):
     return c.join(n, "source").where((F.col("n") >= 2) & (F.col("n") / F.col("docs") >= 0.01)).select("source", "line", "n")
 
 
-@query("similar_titles")
-def similar_titles(spark, d):
-    """Sections whose titles are nearly that of the section before, in one file; neighbours only, so the work is linear."""
-    c = catalog.once_each(chunks(spark, d), "file_id", "section_number", "section_title")
-    w = Window.partitionBy("file_id").orderBy(F.col("section_number").asc_nulls_last(), "doc_id")
-    c = c.withColumn("before", F.lag("section_title").over(w))
-    return c.select("doc_id", "section_title", "before", similarity(F.col("section_title"), F.col("before")).alias("similarity")).where("similarity > 0.85")
+@query("similar_names")
+def similar_names(spark, d):
+    """Files named nearly like the one before them in the order of a site's names that begin alike; neighbours only, so the work is linear, and no site is one task."""
+    c = chunks(spark, d).select("file_id", "original_filename", "sosok", "site").where("site IS NOT NULL").distinct()
+    w = Window.partitionBy(strip_blanks(F.col("sosok")), strip_blanks(F.col("site")), F.left(F.col("original_filename"), F.lit(4))).orderBy("original_filename", "file_id")
+    c = c.withColumn("before", F.lag("original_filename").over(w))
+    return c.select("file_id", "original_filename", "before", similarity(F.col("original_filename"), F.col("before")).alias("similarity")).where("similarity > 0.85")
 
 
 @query("sha256_dedupe", f"SELECT sha256({strip('text')}) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
