@@ -111,7 +111,7 @@ def connect():
 
     con = duckdb.connect(":memory:")
     con.execute("SET threads=1")
-    con.execute("SET memory_limit='400MB'")
+    con.execute("SET memory_limit='2GB'")
     con.execute("SET preserve_insertion_order=true")
     return con
 
