@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from docweave import streaming
 from docweave.functions import packed
-from docweave.functions.text import clean_cell, is_number, similarity, sse_frame, uptime_text
-from docweave.operators import catalog, chunk, layout, search, sections, stats, tables
+from docweave.functions.text import clean_cell, is_number, sse_frame, uptime_text
+from docweave.operators import catalog, chunk, layout, names, search, sections, stats, tables
 from docweave.operators.access import ADMIN, Principal, can_see
-from docweave.session import spread, strip_blanks, table
+from docweave.session import site_key, spread, strip_blanks, table
 from docweave.sources import office
 
 ANYONE = Principal(ADMIN, ADMIN)
@@ -325,11 +325,10 @@ def repeated_first_lines(spark, d):
 
 @query("similar_names")
 def similar_names(spark, d):
-    """Files named nearly like the one before them in the order of a site's names that begin alike; neighbours only, so the work is linear, and no site is one task."""
-    c = chunks(spark, d).select("file_id", "original_filename", "sosok", "site").where("site IS NOT NULL").distinct()
-    w = Window.partitionBy(strip_blanks(F.col("sosok")), strip_blanks(F.col("site")), F.left(F.col("original_filename"), F.lit(4))).orderBy("original_filename", "file_id")
-    c = c.withColumn("before", F.lag("original_filename").over(w))
-    return c.select("file_id", "original_filename", "before", similarity(F.col("original_filename"), F.col("before")).alias("similarity")).where("similarity > 0.85")
+    """Every two files of a site that are named nearly alike; before is the earlier name of the two."""
+    c = chunks(spark, d).where("site IS NOT NULL")
+    pairs = names.similar_pairs(c, "file_id", "original_filename", [site_key(F.col("sosok"), F.col("site"))])
+    return pairs.select(F.col("key_b").alias("file_id"), F.col("text_b").alias("original_filename"), F.col("key_a").alias("before_id"), F.col("text_a").alias("before"), "similarity")
 
 
 @query("sha256_dedupe", f"SELECT sha256({strip('text')}) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
