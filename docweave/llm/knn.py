@@ -6,9 +6,11 @@
   have not found k close enough vectors yet, without new hash tables.
 * So that no query meets all vectors, the vectors are first laid out in cells by the signs of projections on principal directions
   (fitted on ``SAMPLE`` rows; every row is indexed). A query visits its own cell and those it reaches by turning the signs
-  with the least margins. The number of signs follows the logarithm of the rows, so a cell keeps some ``CELL`` vectors at
+  with the least margins; cells whose margins are within a cosine of 0.999 are all visited, as tight groups can lie across them. The number of signs follows the logarithm of the rows, so a cell keeps some ``CELL`` vectors at
   any size; cells that outgrow ``BLOCK`` are cut into blocks which all their queries visit.
-* Cells hold 8-bit codes. What a cell returns is verified against the stored vectors in double precision.
+* Cells hold 8-bit codes, whose angle to the vector has a bound. A cell returns of a query's candidates all that can, within these bounds, be
+  among its k nearest; they are verified against the stored vectors in double precision. Where that is more than ``MANY`` (tight groups),
+  the query is asked again in this cell among the stored vectors themselves.
 
 Equal vectors are hashed once; of a group of equal ones the k + 1 smallest ids stand for the rest as neighbours.
 
@@ -31,6 +33,8 @@ WINDOWS, COLLISIONS = 32, 14
 LEVELS = (0.225, 0.45)
 STEP = 0.03
 CELL, BLOCK, SAMPLE = 400, 4096, 8192
+MANY = 32
+TIGHT = 2 * (1 - 0.999)
 
 
 def usable(values, offsets, dim: int):
@@ -87,16 +91,17 @@ def indexed(df: DataFrame, key: str, vector: str, dim: int, signs: int, probes:
             cell = ((m > 0) @ (1 << np.arange(signs, dtype=np.int64))).astype(np.int64) if signs else np.zeros(len(u), np.int64)
             low = np.argsort(np.abs(m), axis=1)[:, :margins]
             cost = np.take_along_axis(m * m, low, 1) @ turns.T
-            order = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+            order = np.argsort(cost, axis=1, kind="stable")
             flips = (1 << low.astype(np.int64)) @ turns.T.astype(np.int64)
             seen = cell[:, None] ^ np.take_along_axis(flips, order, 1)
+            some = (np.arange(seen.shape[1]) < probes) | (np.take_along_axis(cost, order, 1) <= TIGHT)
             v = np.ascontiguousarray(v)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key).take(pa.array(rows)).cast(pa.string()),
                     pa.array([np.int64(np.uint64(xxhash.xxh64_intdigest(x.tobytes()))) for x in v], pa.int64()),
                     pa.array(cell),
-                    pa.ListArray.from_arrays(np.arange(0, seen.size + 1, seen.shape[1], dtype=np.int32), seen.ravel()),
+                    pa.ListArray.from_arrays(np.r_[0, np.cumsum(some.sum(1))].astype(np.int32), seen[some]),
                     pa.array([x.tobytes() for x in code], pa.binary()),
                     pa.array([x.tobytes() for x in v], pa.binary()),
                 ],
@@ -107,9 +112,9 @@ def indexed(df: DataFrame, key: str, vector: str, dim: int, signs: int, probes:
     return rows.mapInArrow(each, "key string, vid bigint, cell bigint, probes array<bigint>, code binary, vec binary")
 
 
-def _visits(dim: int, k: int, least: float):
-    """A stream over the rows of cells sorted by (part, asks): the vectors of a part first, then its queries. Emits (a, b), a query and a vector near it."""
-    spare = 4
+def _visits(dim: int, k: int, least: float, stored: bool = False):
+    """A stream over the rows of cells sorted by (part, asks): the vectors of a part first, then its queries. Emits (a, b), a query and a vector near it,
+    or (a, NULL, part) of a query with too many candidates that the codes can't tell apart; with ``stored`` the rows have the vectors too, which can."""
 
     def each(batches):
         import numpy as np
@@ -117,23 +122,31 @@ def _visits(dim: int, k: int, least: float):
         rng = np.random.default_rng(SEED)
         axes = rng.standard_normal((dim, WINDOWS)).astype(np.float32)
 
-        def matrix(column):
+        def matrix(column, kind=np.int8):
             c = column.buffers()
             at = np.frombuffer(c[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            return np.frombuffer(c[2], np.int8)[at[0] : at[-1]].reshape(-1, dim)
+            return np.frombuffer(c[2], np.int8)[at[0] : at[-1]].view(kind).reshape(-1, dim)
 
-        def unit(code):
-            u = code.astype(np.float32)
+        def unit(code, kind=np.float32):
+            u = code.astype(kind)
+            u /= np.abs(u).max(1, keepdims=True)
             return u / np.linalg.norm(u, axis=1, keepdims=True)
 
+        def off(code):
+            """The largest angle between a code and its vector: rounding moves no value by more than a half."""
+            return np.arcsin(np.minimum(1, math.sqrt(dim) / 2 / np.linalg.norm(code.astype(np.float32), axis=1)))
+
+        def angle(s):
+            return np.arccos(np.clip(s, -1, 1))
+
         def buckets(u):
             return np.ascontiguousarray(np.clip(np.round(u @ axes / STEP), -120, 120).astype(np.int8).T)
 
         def visit(base, queries):
-            (bid, bu, bb), (qid, qu) = base, queries
+            (bid, bu, be, bv, bb), (qid, qu, qe, qv) = base, queries
             qb = buckets(qu)
             todo = np.arange(len(qid))
-            out_a, out_b = [], []
+            out_a, out_b, again = [], [], []
             for level, width in enumerate(LEVELS):
                 w = round(width / STEP)
                 near = max(least, 1 - (width / 0.45 * 0.5477) ** 2 / 2) if level + 1 < len(LEVELS) else least
@@ -145,45 +158,64 @@ def _visits(dim: int, k: int, least: float):
                 q = todo[i]
                 other = bid[b] != qid[q]
                 i, q, b = i[other], q[other], b[other]
-                s = np.einsum("ij,ij->i", qu[q], bu[b])
+                x, y = (qv, bv) if stored else (qu, bu)
+                s = np.einsum("ij,ij->i", x[q], y[b]) if len(q) < count.size / 8 else (x[todo] @ y.T)[i, b]
                 enough = np.bincount(i[s >= near], minlength=len(todo)) >= k if level + 1 < len(LEVELS) else np.ones(len(todo), bool)
-                keep = (s >= least - 0.02) & enough[i]
-                q, b, s = q[keep], b[keep], s[keep]
-                order = np.lexsort((-s, q))
-                q, b = q[order], b[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                q, b = q[rank < k + spare], b[rank < k + spare]
+                if stored:
+                    keep = (s >= least - 1e-9) & enough[i]
+                    q, b, s = q[keep], b[keep], s[keep]
+                    order = np.lexsort((bid[b], -s, q))
+                    q, b = q[order], b[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, b = q[rank < k + 4], b[rank < k + 4]  # four more than asked for: sums differ in their last digits
+                else:
+                    error = qe[q] + be[b]
+                    low = angle(s + 2e-6) - error
+                    keep = (low <= math.acos(least)) & enough[i]
+                    q, b, low, high = q[keep], b[keep], low[keep], (angle(s - 2e-6) + error)[keep]
+                    order = np.lexsort((high, q))
+                    q, b, low, high = q[order], b[order], low[order], high[order]
+                    kth = np.arange(len(q)) - np.searchsorted(q, q) == k - 1
+                    bound = np.full(len(qid), np.inf)
+                    bound[q[kth]] = high[kth]
+                    may = low <= bound[q]
+                    q, b = q[may], b[may]
+                    many = np.bincount(q, minlength=len(qid)) > MANY
+                    again.append(qid[many])
+                    q, b = q[~many[q]], b[~many[q]]
                 out_a.append(qid[q])
                 out_b.append(bid[b])
                 todo = todo[~enough]
                 if not len(todo):
                     break
-            return np.concatenate(out_a), np.concatenate(out_b)
+            return np.concatenate(out_a), np.concatenate(out_b), np.concatenate([*again, qid[:0]])
 
-        part, ids, us, base = None, [], [], None
+        part, kept, base = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             parts, asks, vid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "asks", "vid"))
-            code = unit(matrix(batch.column("code")))
+            code = matrix(batch.column("code"))
+            rows = (vid, unit(code), off(code), unit(matrix(batch.column("vec"), np.float32), np.float64) if stored else vid)
             cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (asks[1:] != asks[:-1])) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(parts)], strict=True):
                 if parts[lo] != part:
-                    part, ids, us, base = parts[lo], [], [], None
+                    part, kept, base = parts[lo], [], None
                 if not asks[lo]:
-                    ids.append(vid[lo:hi])
-                    us.append(code[lo:hi])
+                    kept.append([x[lo:hi] for x in rows])
                     continue
                 if base is None:
-                    if not ids:
+                    if not kept:
                         continue
-                    u = np.concatenate(us)
-                    base = (np.concatenate(ids), u, buckets(u))
+                    base = [np.concatenate(x) for x in zip(*kept, strict=True)]
+                    base.append(buckets(base[1]))
                 for i in range(lo, hi, 256):
                     n = min(hi, i + 256)
-                    a, b = visit(base, (vid[i:n], code[i:n]))
+                    a, b, again = visit(base, [x[i:n] for x in rows])
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "part"])
+                    if len(again):
+                        yield pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64()), pa.array(np.full(len(again), part))], ["a", "b", "part"])
 
     return each
 
@@ -225,8 +257,16 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.8
         one = one.join(sizes, "cell").withColumn("part", F.xxhash64("cell", F.pmod(F.xxhash64("vid"), "blocks")))
         asks = asks.join(sizes, "cell").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("part", F.xxhash64("cell", "b"))
     cells = one.select("part", F.lit(False).alias("asks"), "vid", "code").union(asks.select("part", F.lit(True).alias("asks"), "vid", "code"))
-    pairs = cells.repartition("part").sortWithinPartitions("part", "asks").mapInArrow(_visits(dim, k, least), "a bigint, b bigint").distinct()
+    visited = "a bigint, b bigint, part bigint"
+    met = materialize(cells.repartition("part").sortWithinPartitions("part", "asks").mapInArrow(_visits(dim, k, least), visited), "visits")
+    pairs, again = met.where("b IS NOT NULL").select("a", "b"), met.where("b IS NULL").select("part", F.col("a").alias("vid")).distinct()
     vecs = rows.select("vid", "vec").dropDuplicates(["vid"])
+    if not again.isEmpty():
+        base = one.join(again.select("part").distinct(), "part", "left_semi").select("part", F.lit(False).alias("asks"), "vid", "code")
+        tight = base.union(again.join(one.select("vid", "code"), "vid").select("part", F.lit(True).alias("asks"), "vid", "code")).join(vecs, "vid")
+        tight = tight.select("part", "asks", "vid", "code", "vec").repartition("part").sortWithinPartitions("part", "asks")
+        pairs = pairs.union(tight.mapInArrow(_visits(dim, k, least, stored=True), visited).select("a", "b"))
+    pairs = pairs.distinct()
     pairs = pairs.join(vecs.select(F.col("vid").alias("a"), F.col("vec").alias("va")), "a").join(vecs.select(F.col("vid").alias("b"), F.col("vec").alias("vb")), "b")
     pairs = materialize(pairs.mapInArrow(_cosines(dim), "a bigint, b bigint, cosine double").where(F.col("cosine") >= least), "cosines")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))

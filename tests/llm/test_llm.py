@@ -151,6 +151,25 @@ def test_nearest_vectors(spark, monkeypatch):
     assert {(r.key, r.neighbor) for r in knn.nearest(d, "k", "e").collect()} == {(k, n) for k, v in got.items() for n, _ in v}
 
 
+def test_nearest_vectors_of_a_tight_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    mean = rng.normal(size=64)
+    tight = mean / np.linalg.norm(mean) + rng.normal(size=(2500, 64)) * (1e-4 / 64) ** 0.5  # a mean cosine of 0.9999
+    x = np.concatenate([tight, rng.normal(size=(6000, 64))]).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, e array<float>")
+    got = {}
+    for r in knn.nearest(d, "k", "e").collect():
+        got.setdefault(int(r.key), set()).add(int(r.neighbor))
+    u = x[:2500].astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert sum(len(got.get(i, set()) & set(w.tolist())) for i, w in enumerate(want)) / want.size >= 0.97
+
+
 @pytest.mark.parametrize("unit", ["word", "char"])
 def test_splitting(spark, unit):
     rng = random.Random(4)
