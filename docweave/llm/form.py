@@ -207,9 +207,12 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_forms(spark, sf_dir: str) -> DataFrame:
-    """Every chunk's content and file name in one form."""
+    """Every chunk's content and file name in one form, and every requested name: rows without doc_id, by request_id and place from 1."""
     c = table(spark, sf_dir, "chunks").dropDuplicates(["doc_id"]).select("doc_id", "content", "original_filename")
-    return with_form(with_form(c, "content", "content_form"), "original_filename", "filename_form").select("doc_id", "content_form", "filename_form")
+    c = with_form(with_form(c, "content", "content_form"), "original_filename", "filename_form").select("doc_id", "content_form", "filename_form")
+    r = table(spark, sf_dir, "duplicate_requests").select("request_id", F.posexplode("filenames").alias("i", "name"))
+    r = with_form(r, "name", "filename_form").select("request_id", (F.col("i") + 1).alias("place"), "filename_form")
+    return c.unionByName(r, allowMissingColumns=True)
 
 
 ship(__name__)

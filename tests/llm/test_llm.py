@@ -310,3 +310,20 @@ def test_with_tokens(spark):
     assert n[0] == n[1] and n[0][1] > 2 and n[2:] == [(2, None), (3, 0)]
     with pytest.raises(ValueError):
         tokens.with_tokens(d, "text", "id")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("tables")
+    head = "문서\n<h2>t</h2>\n"
+    rows = [("a", head + "네 단어 짜리 글", "ａ.pdf", 9), ("b", head + "네 단어  짜리 글", "b.pdf", 9), ("c", None, None, None), ("d", "문서", "d.pdf", 1), ("e", head + "w " * 900, "e.pdf", 7), ("e", head + "w " * 900, "e.pdf", 7)]
+    c = spark.createDataFrame([(*r, f"f{r[0]}", "1", "t", 1, 2) for r in rows], "doc_id string, content string, original_filename string, total_pdf_pages int, file_id string, section_id string, section_title string, section_number int, page_number int")
+    c.write.parquet(str(d / "chunks.parquet"))
+    spark.createDataFrame([(1, ["ｂ.pdf", None]), (2, None), (3, ["x\u00a0 y"])], "request_id long, filenames array<string>").write.parquet(str(d / "duplicate_requests.parquet"))
+    return str(d)
+
+
+def test_every_name_comes_out_in_one_form(spark, tables):
+    rows = form.p5_forms(spark, tables).collect()
+    assert sorted((r.request_id, r.place, r.filename_form) for r in rows if r.doc_id is None) == [(1, 1, "b.pdf"), (1, 2, None), (3, 1, "x y")]
+    assert sorted((r.doc_id, r.filename_form) for r in rows if r.doc_id) == [("a", "a.pdf"), ("b", "b.pdf"), ("c", None), ("d", "d.pdf"), ("e", "e.pdf")]
