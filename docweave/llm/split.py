@@ -59,7 +59,7 @@ def split_oversized(df: DataFrame, column: str, limit: int = 700, overlap: int =
     return d.select(*rest, (F.col("_i") + 1).alias("piece_no"), (F.get("_starts", F.col("_i")) - before).alias("start"), piece.alias("piece"))
 
 
-CARRIED = ("doc_id", "file_id", "section_id", "section_title", "section_number", "page_number")
+CARRIED = ("doc_id", "file_id", "original_filename", "section_id", "section_title", "section_number", "page_number", "total_pdf_pages")
 
 
 def p6_pieces(spark, sf_dir: str) -> DataFrame:

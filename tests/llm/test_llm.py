@@ -327,3 +327,8 @@ def test_every_name_comes_out_in_one_form(spark, tables):
     rows = form.p5_forms(spark, tables).collect()
     assert sorted((r.request_id, r.place, r.filename_form) for r in rows if r.doc_id is None) == [(1, 1, "b.pdf"), (1, 2, None), (3, 1, "x y")]
     assert sorted((r.doc_id, r.filename_form) for r in rows if r.doc_id) == [("a", "a.pdf"), ("b", "b.pdf"), ("c", None), ("d", "d.pdf"), ("e", "e.pdf")]
+
+
+def test_pieces_keep_file_and_pages(spark, tables):
+    got = {(r.piece_no, r.original_filename, r.total_pdf_pages, r.file_id, r.page_number) for r in split.p6_pieces(spark, tables).collect()}
+    assert got == {(i, "e.pdf", 7, "fe", 2) for i in (1, 2)}
