@@ -242,8 +242,8 @@ def classes(signed_rows: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(names, "class").select("key", "class_id", "links", "copies")
 
 
-def signed_bodies(chunks: DataFrame, size: int) -> DataFrame:
-    return signed(with_form(bodies(chunks), "body", "form", "lower(form)", keep_text=False), "doc_id", "form", size)
+def signed_bodies(chunks: DataFrame, size: int, short: str = "none") -> DataFrame:
+    return signed(with_form(bodies(chunks), "body", "form", "lower(form)", keep_text=False), "doc_id", "form", size, short=short)
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
@@ -258,9 +258,12 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_classes(spark, sf_dir: str) -> DataFrame:
-    """Every chunk with the class of its near-duplicates: runs of five words, similarity 0.8 or more."""
-    texts = signed_bodies(table(spark, sf_dir, "chunks"), 5)
-    return classes(texts, similar_sets(texts, 0.8)).withColumnRenamed("key", "doc_id")
+    """Every chunk with the class of its near-duplicates: runs of five words (a shorter text is one run), similarity 0.8 or more. A chunk without text is a class of its own."""
+    chunks = table(spark, sf_dir, "chunks")
+    texts = signed_bodies(chunks, 5, "whole")
+    found = classes(texts, similar_sets(texts, 0.8)).withColumnRenamed("key", "doc_id")
+    rest = chunks.where("doc_id IS NOT NULL").select("doc_id").distinct().join(texts.select(F.col("key").alias("doc_id")), "doc_id", "left_anti")
+    return found.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("copies")))
 
 
 ship(__name__)

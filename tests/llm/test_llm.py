@@ -329,6 +329,10 @@ def test_every_name_comes_out_in_one_form(spark, tables):
     assert sorted((r.doc_id, r.filename_form) for r in rows if r.doc_id) == [("a", "a.pdf"), ("b", "b.pdf"), ("c", None), ("d", "d.pdf"), ("e", "e.pdf")]
 
 
+def test_every_chunk_has_a_class(spark, tables):
+    assert sorted(tuple(r) for r in neardup.p2_classes(spark, tables).select("doc_id", "class_id", "links", "copies").collect()) == [("a", "a", 0, 1), ("b", "a", 0, 1), ("c", "c", 0, 0), ("d", "d", 0, 0), ("e", "e", 0, 0)]
+
+
 def test_pieces_keep_file_and_pages(spark, tables):
     got = {(r.piece_no, r.original_filename, r.total_pdf_pages, r.file_id, r.page_number) for r in split.p6_pieces(spark, tables).collect()}
     assert got == {(i, "e.pdf", 7, "fe", 2) for i in (1, 2)}
