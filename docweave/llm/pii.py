@@ -75,10 +75,11 @@ def rules():
     cues.make_automaton()
     return {
         "cues": cues,
-        "numbers": plain_re.compile(r"\d{3}(?:\d{3}|[-. ]\d{4}|[- ]\d\d[- ]\d{4}| ?- ?\d\d ?- ?\d{4})"),
+        "numbers": plain_re.compile(r"\d{3}(?:\d{3}|[A-Za-z]\d{4}|[-. ]\d{4}|[- ]\d\d[- ]\d{4}| ?- ?\d\d ?- ?\d{4})"),
         "house": plain_re.compile(r"[로길리산동] ?\d"),
         "street": plain_re.compile(rf"\d (?:[A-Z][\w'’-]* ){{1,4}}(?:{STREETS})\b"),
         "cue_en": plain_re.compile(rf"\b(?:{BEFORE_EN}|Mr|Mrs|Ms|Miss|Dr|Eng|Prof|Sir|Capt|Sgt|Attendees|Present)\b[.:]?\s+(?=[A-Z])|\s(?:signed|wrote|called|reported|approved|requested|confirmed)\b"),
+        "list_cue": plain_re.compile(r"(?:" + "|".join([*LISTS, "Attendees", "Present"]) + r")\s?:\s*"),
         "at_guard": plain_re.compile(r"[\[({<]\s*(?:at|골뱅이|앳)|at_|_at|골뱅이|\sat\s+[a-z0-9-]+(?:\.|\s+dot\s|\s*[\[(]dot)", plain_re.I),
         "dot_guard": plain_re.compile(r"[\[({<]\s*(?:dot|점|닷)|dot_|_dot|\s(?:dot|점|닷)\s", plain_re.I),
         "changed": plain_re.compile("[" + "".join(plain_re.escape(chr(x)) for x in single() if x < 0x10000) + "]"),
@@ -118,7 +119,7 @@ def rules():
         "after_ko": c(rf"{any_name}(?=\s?{rank}|에게서?(?![가-힣])|께서?(?![가-힣])|의 (?:지갑|가방|사원증|휴대전화|신분증|명함|차량|연락처|주소|전화))"),
         "after_en": c(rf"(?<![A-Za-z.])(?P<name>{name_en})(?=\s(?:signed|wrote|called|reported|approved|requested|confirmed)\b|,\sID\b)"),
         "joined": c(rf"(?<![A-Za-z.])(?P<name>{name_en})\s+and\s+(?:{TITLES})?(?P<other>{name_en})(?=\s(?:signed|wrote|called|reported|approved|requested|confirmed|met)\b)"),
-        "list": c(r"(?:참석|참석자|명단|작업자|배석|Attendees|Present)\s?:\s*(?P<list>[^\n:]{1,300}?)(?=\n|$|(?<=[가-힣]{2})\.|(?<=[a-z]{2})(?<!Eng|Mrs|Miss|Prof|Sir|Capt|Sgt|Mr|Ms|Dr)\.|\s안건)"),
+        "list": c(r"(?:참석|참석자|명단|작업자|배석|Attendees|Present)\s?:\s*(?P<list>[^\n:]+?)(?=\n|$|(?<=[가-힣]{2})\.|(?<=[a-z]{2})(?<!Eng|Mrs|Miss|Prof|Sir|Capt|Sgt|Mr|Ms|Dr)\.|\s안건)"),
         "list_name": c(rf"(?:{TITLES})?{any_name}(?=\s*(?:,|$|\.|\||/|와|과|및))"),
         "by_number": c(rf"(?P<name>{short_ko}|(?<=[|/,]\s?){name_ko}|{name_en})\s*(?:[,/|(:]\s?)?$"),
         "in_brackets": c(rf"^\s*\(\s*(?:{TITLES})?{any_name}\s*\)"),
@@ -184,6 +185,9 @@ def windows(text: str) -> list[tuple[int, int]]:
     spots += [(m.start() - 70, m.end() + 70) for m in r["house"].finditer(text)]
     spots += [(m.start() - 12, m.end() + 100) for m in r["street"].finditer(text)]
     spots += [(m.start() - 60, m.end() + 60) for m in r["cue_en"].finditer(text)]
+    for m in r["list_cue"].finditer(text):  # a list goes on to the end of its line
+        end = text.find("\n", m.end())
+        spots.append((m.start() - 60, len(text) if end < 0 else end + 1))
     for i, word in r["cues"].iter(text):
         if word == "담당" and text[i + 1 : i + 2] not in (":", " ") or word == "에게" and text[i - 3 : i - 1] == "담당":
             continue  # a function, not a name

@@ -336,3 +336,13 @@ def test_every_chunk_has_a_class(spark, tables):
 def test_pieces_keep_file_and_pages(spark, tables):
     got = {(r.piece_no, r.original_filename, r.total_pdf_pages, r.file_id, r.page_number) for r in split.p6_pieces(spark, tables).collect()}
     assert got == {(i, "e.pdf", 7, "fe", 2) for i in (1, 2)}
+
+
+FAR = "a line of plain words about nothing, " * 8
+MANY = ["Joss Nyborg", "Mara Ellison", "Tove Lindqvist", "Aron Belka", "Nils Okafor"] * 5
+KO_MANY = ["강다결", "황슬울", "박도현", "김하린"] * 25
+
+
+@pytest.mark.parametrize(("text", "want"), [(FAR + "M123A4567 " + FAR, ["M123A4567"]), (f"{FAR}\nAttendees: {', '.join(MANY)}\n{FAR}", MANY), (f"{FAR}\nPresent : {', '.join(MANY[:9])}", MANY[:9]), (f"{FAR}\n참석자: {', '.join(KO_MANY)}\n{FAR}", KO_MANY)])
+def test_windows_are_as_wide_as_the_detectors(text, want):
+    assert [text[i:j] for _, i, j in pii.items(text)] == want
