@@ -1,10 +1,10 @@
-"""Lines repeated across the documents of one source: found as templates of fixed-depth token trees, and removed.
+"""Lines repeated across the documents of one source: found by equal hashes of their digit-slotted tokens, and removed.
 
-Within a partition every line is put into one form, cut into tokens, and led through a tree: source, number of tokens,
-the first ``DEPTH`` tokens, then the leaf's templates. In a token each run of digits is a wildcard slot, so that page
-marks and time stamps share a template. A partition's tree is emitted as its leaves, each with the documents
-under it (once a document); trees are merged by a hash of the path and template, and the merged templates that cover at least
-``least`` documents and ``share`` of their source's are the repeated ones. The documents' lines lose those.
+Every line is put into one form and cut into tokens, in which each run of digits is a wildcard slot, so that page marks and time
+stamps share a template. A template's id is a hash of the source and all its tokens; what groups lines is that these hashes are equal.
+The token tree of a partition (source, number of tokens, the first ``DEPTH`` tokens, then the leaf's templates) only
+keeps ids already worked out: no templates are merged in it, and it has no effect on the result. Each line is emitted as its
+template's id, and the templates that cover at least ``least`` documents and ``share`` of their source's are the repeated ones. The documents' lines lose those.
 
 Counting is by (source, template, document), which has no hot key, then by (source, template) with a map-side sum.
 
@@ -74,7 +74,7 @@ def parsed(chunks: DataFrame, doc: str = "doc_id", text: str = "content") -> Dat
 
 
 def repeated_templates(lines: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:
-    """(source, template) of the merged trees' templates that cover at least ``least`` and ``share`` of the source's documents."""
+    """(source, template) of the templates, counted over all partitions, that cover at least ``least`` and ``share`` of the source's documents."""
     all_files = lines.select("source", "file_id").distinct().groupBy("source").agg(F.count("*").alias("files"))
     leaves = lines.select("source", "file_id", F.explode(F.array_distinct("templates")).alias("template")).where("template <> 0").distinct()
     cover = leaves.groupBy("source", "template").agg(F.count("*").alias("n")).where(F.col("n") >= least)
