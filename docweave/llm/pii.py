@@ -35,15 +35,22 @@ EN_DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four
 
 # Common Korean surnames, words of rank that follow a name, words before a name, titles.
 SURNAMES = "김이박최정강조윤장임한오서신권황안송류유홍전고문양손배백허남심노하곽성차주우구민진지엄채원천방공현함변염여추도석선설마길위표명기왕금옥인맹제탁국"
+LONG_SURNAMES = "남궁|황보|제갈|선우|독고|사공|서문|동방"
 RANKS = "팀장|주임|반장|기술원|대리|과장|부장|차장|사원|소장|실장|국장|처장|계장|조장|기사|기장|책임|선임|수석|연구원|주무관|사무관|교수|박사|대표|이사|상무|전무|사장|원장|센터장|관리자|감독|요원|님|씨"
 BEFORE_KO = "문의|참석|참석자|서명|신청자|담당자|담당|수령인은|수령인|비상연락망|성명|이름|작성자|검토자|확인자|승인자|보고자|연락처|책임자|받는 사람|보낸 사람|예금주|신원"
 BEFORE_EN = "met|[Bb]y|[Cc]ontact|Attn|Attention|Visitor|Dear|[Aa]sk for|[Cc]all|[Ss]ee|c/o|Signed|Name|Recipient|Operator|Technician|Inspector|Caller|From|To"
 TITLES = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Eng|Prof|Sir|Capt|Sgt)\.?\s+)"
+ACTS_KO = "떠났|말했|물었|답했|출근했|퇴근했|보고했|서명했|요청했|승인했|작성했|신청했|참석했|만났|전화했|방문했|도착했"
+ACTS_EN = "[a-z]{2,}ed|said|told|wrote|found|left|took|made|met|sent|saw|went|came|gave|spoke|kept|held|drove|ran"
+NO_PERSON = "The|This|That|These|Those|Each|Every|All|Any|No|Our|Your|Their|His|Her|Its|New|Old|Main|When|While|After|Before|If|And|But|Radio|Radar|Power|Control|Air|Ground|Site|Unit|System|Station|Team|Center|Centre|Office|Building|Inc|Ltd|Co|Corp|Street|Road|North|South|East|West"
 LISTS = ("참석", "참석자", "명단", "작업자", "배석")
+OFFICES = "팀반부과실국처소"
 NOT_NAMES = "팀반부과실기계수식용품류점표"
 
 # Words whose number is one of equipment, parts or documents; kinds of streets.
 REFERENCES = r"(?:note|bin|rev|kit|S/N|serial|part|parts|lot|order|doc|ref|model|no|부품 신청|문서번호|시리얼|일련번호|부품번호|주파수|IP)\.?:?\s*"
+NAME_PARTICLES = "님|씨|은|는|이|가|을|를|과|와|의|께|도|에게|께서|이며"
+PARTICLES = "으로|로|번|에서|에|은|는|을|를|이며|이다|입니다|이고|인"
 STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Row|Way|Court|Ct|Boulevard|Blvd|Place|Pl|Square|Sq|Terrace|Crescent|Close|Highway|Hwy|Parkway|Alley|Walk|Quay"
 
 
@@ -57,8 +64,10 @@ def single():
 def rules():
     c = re.compile
     sep = r"[-. ]"
-    name_ko = rf"(?<![가-힣])[{SURNAMES}](?: ?[가-힣]{{2,3}}?|(?: [가-힣]){{2,3}}?)"
-    short_ko = rf"(?<![가-힣])[{SURNAMES}](?: ?[가-힣]{{2}}|(?: [가-힣]){{2}})"
+    area = r"0(?:2|[3-6]\d|70|80|50\d?)"
+    ko = "".join(KO_DIGITS)
+    name_ko = rf"(?<![가-힣])(?:{LONG_SURNAMES}|[{SURNAMES}])(?: ?[가-힣]{{2,3}}?|(?: [가-힣]){{2,3}}?)"
+    short_ko = rf"(?<![가-힣])(?:{LONG_SURNAMES}|[{SURNAMES}])(?: ?[가-힣]{{2}}|(?: [가-힣]){{2}})"
     rank = rf"(?:{RANKS})(?:님|께서|에게|이며|입니다|으로|이|가|은|는|을|를|과|와|의|께|도|로|에)?(?![가-힣])"
     given = r"[A-Z][a-zà-öø-ÿ]+(?:-[A-Z][a-zà-öø-ÿ]+)?"
     initial = r"[A-Z]\."
@@ -70,7 +79,7 @@ def rules():
     cues = ahocorasick.Automaton()
     for w in [*RANKS.split("|"), *BEFORE_KO.split("|"), "에게", "께서", "의 지갑", "의 가방", "의 사원증", "의 휴대", "의 신분증", "의 명함", "의 차량", "의 연락처", "의 주소", "의 전화"]:
         cues.add_word(w, w)
-    for w in LISTS:
+    for w in [*LISTS, *ACTS_KO.split("|")]:
         cues.add_word(w, w)
     cues.make_automaton()
     return {
@@ -79,6 +88,7 @@ def rules():
         "house": plain_re.compile(r"[로길리산동] ?\d"),
         "street": plain_re.compile(rf"\d (?:[A-Z][\w'’-]* ){{1,4}}(?:{STREETS})\b"),
         "cue_en": plain_re.compile(rf"\b(?:{BEFORE_EN}|Mr|Mrs|Ms|Miss|Dr|Eng|Prof|Sir|Capt|Sgt|Attendees|Present)\b[.:]?\s+(?=[A-Z])|\s(?:signed|wrote|called|reported|approved|requested|confirmed)\b"),
+        "acts_en": plain_re.compile(rf"[A-Z][a-zà-öø-ÿ]+(?:-[A-Z][a-z]+)?\s(?:[A-Z]\.\s)?[A-Z][a-zà-öø-ÿ-]+\s(?:has\s|have\s|had\s)?(?:{ACTS_EN})\b"),
         "list_cue": plain_re.compile(r"(?:" + "|".join([*LISTS, "Attendees", "Present"]) + r")\s?:\s*"),
         "at_guard": plain_re.compile(r"[\[({<]\s*(?:at|골뱅이|앳)|at_|_at|골뱅이|\sat\s+[a-z0-9-]+(?:\.|\s+dot\s|\s*[\[(]dot)", plain_re.I),
         "dot_guard": plain_re.compile(r"[\[({<]\s*(?:dot|점|닷)|dot_|_dot|\s(?:dot|점|닷)\s", plain_re.I),
@@ -86,8 +96,10 @@ def rules():
         "far": plain_re.compile("[\U00010000-\U0010ffff]"),
         "any": plain_re.compile("(?s)."),
         "compose": c(r"\P{M}\p{M}+|[ᄀ-ᅟ][ᅠ-ᇿ]+"),
-        "ko_digits": c(r"(?<![가-힣])[공영](?:[-. ]{0,3}[공영일이삼사오육륙칠팔구]){8,11}(?![가-힣])"),
-        "en_digits": c(r"\b(?:" + "|".join(EN_DIGITS) + r")(?:[-,. ]{1,3}(?:" + "|".join(EN_DIGITS) + r")){6,12}\b", re.I),
+        "ko_guard": plain_re.compile(rf"[{ko}][-. ]{{0,3}}[{ko}](?:[-. ]{{0,3}}[{ko}]){{5}}"),
+        "ko_digits": c(rf"(?<![가-힣])[{ko}](?:[-. ]{{0,3}}[{ko}]){{6,}}(?:(?![가-힣])|(?={PARTICLES}))"),
+        "en_guard": plain_re.compile("[" + "".join(sorted({x for w in EN_DIGITS for x in (w[0], w[0].upper())})) + "](?i:" + "|".join(w[1:] for w in EN_DIGITS) + r")[-,. ]{1,3}(?i:" + "|".join(EN_DIGITS) + r")[-,. ]"),
+        "en_digits": c(r"\b(?:" + "|".join(EN_DIGITS) + r")(?:[-,. ]{1,3}(?:" + "|".join(EN_DIGITS) + r")){6,}\b", re.I),
         "at": c(r"(?<=[\w+.-])(?:\s*[\[({<]\s*(?:at|골뱅이|앳)\s*[\])}>]\s*|\s+_?at_\s+|\s+_at_?\s+|\s*골뱅이\s*|\s+at\s+(?=[a-z0-9-]+(?:(?:\.|\s+dot\s+|\s*[\[(]dot[\])]\s*)[a-z0-9-]+)*(?:\.|\s+dot\s+|\s*[\[(]dot[\])]\s*)[a-z]{2,}\b(?![\w.+-]*\s*(?:@|[\[({<]\s*(?:at|골뱅이)|at_))))(?=[A-Za-z0-9])", re.I),
         "dot": c(r"(?<=[A-Za-z0-9])(?:\s*[\[({<]\s*(?:dot|점|닷)\s*[\])}>]\s*|\s+_?dot_\s+|\s+_dot_?\s+|\s+(?:dot|점|닷)\s+(?=[a-z]{2,}))(?=[A-Za-z0-9])", re.I),
         "email": c(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9][A-Za-z0-9._+%-]*(?:@|(?<=<[^<>\n]{0,80})\s?@\s?)(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"),
@@ -99,8 +111,8 @@ def rules():
             rf"(?<![\w.+-])(?:"
             rf"\+?82{sep}?(?:\(0\){sep}?)?1[016789]{sep}?\d{{3,4}}{sep}?\d{{4}}"
             rf"|\+?82{sep}?(?:\(0\){sep}?)?(?:2|[3-6]\d){sep}?\d{{3,4}}{sep}?\d{{4}}"
-            rf"|\(?01[016789]\)?{sep}?\s?\d{{3,4}}{sep}?\d{{4}}"
-            rf"|\(?0(?:2|[3-6]\d|70|80|50\d?)\)?{sep}?\s?\d{{3,4}}{sep}\d{{4}}"
+            rf"|(?:\(01[016789]\)|01[016789]\)?){sep}?\s?\d{{3,4}}{sep}?\d{{4}}"  # a bracket around the whole number is not the number's
+            rf"|(?:\({area}\)|{area}\)?){sep}?\s?\d{{3,4}}{sep}\d{{4}}"
             rf"|(?:\+?1{sep})?(?:\([2-9]\d{{2}}\)\s?|[2-9]\d{{2}}{sep}|[2-9]\d{{2}}\)\s?)[2-9]\d{{2}}{sep}\d{{4}}"
             rf")(?![\d-]|\.\d|[A-Za-z])"
         ),
@@ -118,8 +130,16 @@ def rules():
         ),
         "after_ko": c(rf"{any_name}(?=\s?{rank}|에게서?(?![가-힣])|께서?(?![가-힣])|의 (?:지갑|가방|사원증|휴대전화|신분증|명함|차량|연락처|주소|전화))"),
         "after_en": c(rf"(?<![A-Za-z.])(?P<name>{name_en})(?=\s(?:signed|wrote|called|reported|approved|requested|confirmed)\b|,\sID\b)"),
+        "subject": c(
+            rf"(?<![A-Za-z.'’-]|(?:[Tt]he|[Aa]n?|[Ff]rom|of|in|at) )(?!(?:{NO_PERSON})\b)(?P<name>{given}(?:\s{initial})?\s(?!(?:{NO_PERSON})\b){given})(?=\s(?:has\s|have\s|had\s)?(?:{ACTS_EN})\b)"
+            rf"|(?<![가-힣])(?P<name>(?:{LONG_SURNAMES}|[{SURNAMES}])[가-힣]{{2}})(?=(?:은|는|이|가|께서)\s(?:[가-힣]+\s){{0,3}}[가-힣]*(?:{ACTS_KO}))"
+        ),
         "joined": c(rf"(?<![A-Za-z.])(?P<name>{name_en})\s+and\s+(?:{TITLES})?(?P<other>{name_en})(?=\s(?:signed|wrote|called|reported|approved|requested|confirmed|met)\b)"),
         "list": c(r"(?:참석|참석자|명단|작업자|배석|Attendees|Present)\s?:\s*(?P<list>[^\n:]+?)(?=\n|$|(?<=[가-힣]{2})\.|(?<=[a-z]{2})(?<!Eng|Mrs|Miss|Prof|Sir|Capt|Sgt|Mr|Ms|Dr)\.|\s안건)"),
+        "name_ends": plain_re.compile(rf"(?:{NAME_PARTICLES})?(?!\w)"),
+        "bullets": c(r"\s*(?:\n[ \t]*(?:[-*·•▪○]|\d{1,3}[.)])[ \t]*[^\n]+)+"),
+        "marked_list": c(r"(?:참석|참석자|명단|작업자|배석|Attendees|Present)\s?:[ \t]*(?:\n[ \t]*(?:[-*·•▪○]|\d{1,3}[.)])[ \t]*[^\n]+)+"),
+        "marked_name": c(rf"\n[ \t]*(?:[-*·•▪○]|\d{{1,3}}[.)])[ \t]*(?:{TITLES})?{any_name}(?=\s*(?:[,|/(.\n]|$)|\s?{rank})"),
         "list_name": c(rf"(?:{TITLES})?{any_name}(?=\s*(?:,|$|\.|\||/|와|과|및))"),
         "by_number": c(rf"(?P<name>{short_ko}|(?<=[|/,]\s?){name_ko}|{name_en})\s*(?:[,/|(:]\s?)?$"),
         "in_brackets": c(rf"^\s*\(\s*(?:{TITLES})?{any_name}\s*\)"),
@@ -133,7 +153,7 @@ class Mapped:
         self.text, self.at, self.size = text, at, len(text) if size is None else size
 
     def rewritten(self, pattern, to) -> Mapped:
-        """Matches replaced by to(match), which may not be longer; its characters come from the match's first, and the last from the match's last."""
+        """Matches replaced by to(match); its characters come from the match's first on, those beyond the match from its last."""
         out, at, end = [], [], 0
         for m in pattern.finditer(self.text):
             new = to(m)
@@ -157,6 +177,18 @@ class Mapped:
         return (self.at[j] if j < len(self.at) else self.size) if self.at else j
 
 
+def grouped(digits: str) -> str:
+    """Spelled digits without signs between them, as such a number is written: the detectors know numbers by their groups."""
+    for first, *sizes in ((r"[2-9]\d{9}$", 3, 3, 4), (r"1[2-9]\d{9}$", 1, 3, 3, 4), (r"02\d{7}$", 2, 3, 4), (r"02\d{8}$", 2, 4, 4), (r"0[3-6]\d{8}$", 3, 3, 4), (r"0[3-6]\d{9}$", 3, 4, 4), (r"\d{9}$", 3, 2, 4)):
+        if re.match(first, digits):
+            out, at = [], 0
+            for n in sizes:
+                out.append(digits[at : at + n])
+                at += n
+            return "-".join(out)
+    return digits
+
+
 def deobfuscated(text: str) -> Mapped:
     r = rules()
     m = Mapped(text)
@@ -169,10 +201,10 @@ def deobfuscated(text: str) -> Mapped:
             m = m.rewritten(r["compose"], lambda x: to if len(to := unicodedata.normalize("NFC", x.group())) <= len(x.group()) else x.group())
     elif "\t" in text or "\r" in text:
         m = Mapped(text.translate(single()))
-    if "공" in m.text or "영" in m.text:
-        m = m.rewritten(r["ko_digits"], lambda x: "".join(KO_DIGITS.get(c, c) for c in x.group()))
-    if "zero" in m.text or "Zero" in m.text or "oh " in m.text:
-        m = m.rewritten(r["en_digits"], lambda x: "".join(EN_DIGITS[w.lower()] for w in re.findall(r"[A-Za-z]+", x.group())))
+    if r["ko_guard"].search(m.text):
+        m = m.rewritten(r["ko_digits"], lambda x: grouped("".join(KO_DIGITS.get(c, c) for c in x.group())))
+    if r["en_guard"].search(m.text):
+        m = m.rewritten(r["en_digits"], lambda x: grouped("".join(EN_DIGITS[w.lower()] for w in re.findall(r"[A-Za-z]+", x.group()))))
     if r["at_guard"].search(m.text):
         m = m.rewritten(r["at"], lambda _: "@")
     return m.rewritten(r["dot"], lambda _: ".") if "@" in m.text and r["dot_guard"].search(m.text) else m
@@ -185,8 +217,10 @@ def windows(text: str) -> list[tuple[int, int]]:
     spots += [(m.start() - 70, m.end() + 70) for m in r["house"].finditer(text)]
     spots += [(m.start() - 12, m.end() + 100) for m in r["street"].finditer(text)]
     spots += [(m.start() - 60, m.end() + 60) for m in r["cue_en"].finditer(text)]
-    for m in r["list_cue"].finditer(text):  # a list goes on to the end of its line
-        end = text.find("\n", m.end())
+    spots += [(m.start() - 6, m.end() + 6) for m in r["acts_en"].finditer(text)]
+    for m in r["list_cue"].finditer(text):  # a list goes on to the end of its line, or of the marked lines below
+        bullets = r["bullets"].match(text, m.end() - 1)
+        end = bullets.end() if bullets else text.find("\n", m.end())
         spots.append((m.start() - 60, len(text) if end < 0 else end + 1))
     for i, word in r["cues"].iter(text):
         if word == "담당" and text[i + 1 : i + 2] not in (":", " ") or word == "에게" and text[i - 3 : i - 1] == "담당":
@@ -200,6 +234,8 @@ def windows(text: str) -> list[tuple[int, int]]:
         i = max(0, i)
         while i and not text[i - 1].isspace():
             i -= 1
+        while j < len(text) and not text[j].isspace():  # nor does it end within a word
+            j += 1
         if out and i <= out[-1][1]:
             out[-1][1] = max(out[-1][1], j)
         else:
@@ -222,10 +258,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     def refers(i: int) -> bool:
         return bool(r["reference"].search(text, max(0, i - 16), i))
 
-    def name(m, group="name", base=0):
+    def name(m, group="name", base=0, ends=NOT_NAMES):
         i, j = (x + base for x in m.span(group))
         s = text[i:j]
-        if "\n" not in s and not ("가" <= s[0] <= "힣" and s[-1] in NOT_NAMES):
+        if "\n" not in s and not ("가" <= s[0] <= "힣" and s[-1] in ends):
             add("person_name", i, j)
 
     areas = windows(text)
@@ -247,21 +283,31 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     for rule in ("address_ko", "address_en"):
         for m in each(rule):
             add("address", *m.span())
-    for rule in ("title", "before", "after_ko", "after_en"):
+    for rule in ("title", "before", "after_ko", "after_en", "subject"):
         for m in each(rule):
-            name(m)
+            name(m, ends=OFFICES if rule == "after_ko" else NOT_NAMES)
     for m in each("joined"):
         name(m)
         name(m, "other")
     for m in each("list"):
         for x in r["list_name"].finditer(m.group("list")):
             name(x, base=m.start("list"))
+    for m in each("marked_list"):
+        for x in r["marked_name"].finditer(m.group()):
+            name(x, base=m.start())
     for kind, i, j in [x for x in found if x[0] in ("phone", "id_number")]:
         before = text[max(0, i - 30) : i]
         if x := r["by_number"].search(before):
             name(x, base=i - len(before))
         if x := r["in_brackets"].search(text[j : j + 40]):
             name(x, base=j)
+    for known in {text[i:j] for kind, i, j in found if kind == "person_name"}:  # a name found once is a name wherever the text has it again
+        i = text.find(known)
+        while i >= 0:
+            j = i + len(known)
+            if not taken[i] and not text[i - 1 : i].isalnum() and r["name_ends"].match(text, j) and not refers(i):
+                add("person_name", i, j)
+            i = text.find(known, j)
     return sorted(found, key=lambda x: x[1])
 
 
