@@ -3,11 +3,11 @@
 A text longer than the capacity is cut: its full pieces fill a container each, the rest is an item like any other. Items are counted
 by length in at most ``BINS`` bins (rounded up, so that a container never overflows). Over this histogram, whose size doesn't
 follow the data, the driver enumerates the combinations of up to ``DEPTH`` lengths that fill a container, solves for how
-often each is to be used (non-negative least squares), rounds down, and packs what is left greedily, longest first, each gap
+often each is to be used (non-negative least squares), rounds as far as the counts allow, and packs what is left greedily, longest first, each gap
 with the longest length that fits. The result is a list of patterns with repeat counts.
 
 Items find their container without coming together anywhere: an item's rank among those of its length is the offset of its bucket plus
-its rank in the bucket; ranks are laid over the patterns by bisection.
+its rank in the bucket, of which there are so many that one holds some ``BUCKET`` items of a length however often it comes; ranks are laid over the patterns by bisection.
 
 Defined results: NULL and empty texts (no tokens) are in no container; repeated rows are packed each; equal lengths are ranked by key.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docweave.llm.tokens import VOCABULARY, with_tokens
 from docweave.session import materialize, ship, spread, table
 
-BINS, DEPTH, BUCKETS = 512, 3, 64
+BINS, DEPTH, BUCKET = 512, 3, 20_000
 
 
 def combinations(lengths, capacity: int):
@@ -147,10 +147,11 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
     whole = d.where("_full > 0").withColumn("piece_no", F.explode(F.sequence(F.lit(1).cast("long"), "_full"))).withColumn("token_start", (F.col("piece_no") - 1) * F.col("capacity"))
     whole = whole.withColumn("piece_tokens", F.col("capacity")).withColumn("container_id", F.concat_ws(":", F.lit("d"), F.col(key).cast("string"), F.col("piece_no").cast("string"))).drop("_full")
     width = F.ceil(F.col("capacity") / BINS)
-    rest = rest.withColumn("_bin", F.ceil(F.col("piece_tokens") / width)).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
-    sizes = rest.groupBy("spec", "_bin", "_bucket").agg(F.count("*").alias("n"))
-    sizes = materialize(sizes, "sizes")
-    rows = sizes.groupBy("spec", "_bin").agg(F.sum("n").alias("n")).collect()  # at most BINS rows a spec
+    rest = rest.withColumn("_bin", F.ceil(F.col("piece_tokens") / width))
+    rows = rest.groupBy("spec", "_bin").agg(F.count("*").alias("n")).collect()  # at most BINS rows a spec
+    buckets = max([1, *(-(-int(r["n"]) // BUCKET) for r in rows)])
+    rest = rest.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    sizes = materialize(rest.groupBy("spec", "_bin", "_bucket").agg(F.count("*").alias("n")), "sizes")
     codes = {"base": [], "each": [], "code": []}
     for i, name in enumerate(names):
         c = capacities[name]
@@ -206,4 +207,16 @@ def p7_report(spark, sf_dir: str) -> DataFrame:
     return used.join(specs, "spec_name").withColumn("used_share", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
 
 
+def p7_checked(spark, sf_dir: str) -> DataFrame:
+    """Of each spec whether the packing keeps to its rules: documents placed, and counts, all 0, of containers over their capacity, of documents whose pieces leave out or repeat a token, and of documents cut that would fit."""
+    sized = sized_documents(spark, sf_dir).select("doc_id", "n_tokens")
+    specs = table(spark, sf_dir, "pack_specs")
+    p = pack(sized, "doc_id", "n_tokens", {r["spec_name"]: r["capacity_tokens"] for r in specs.collect()})
+    over = p.groupBy("spec_name", "container_id").agg(F.sum("piece_tokens").alias("t")).join(specs, "spec_name").groupBy("spec_name").agg(F.count(F.when(F.col("t") > F.col("capacity_tokens"), 1)).alias("overfull"))
+    docs = p.groupBy("spec_name", "doc_id").agg(F.count("*").alias("k"), F.sum("piece_tokens").alias("t"), F.max("n_tokens").alias("n"), F.max("capacity").alias("capacity"), F.sum("token_start").alias("at"))
+    gaps = (F.col("t") != F.col("n")) | (F.col("at") != F.col("capacity") * F.col("k") * (F.col("k") - 1) / 2)  # pieces start at 0, capacity, 2 x capacity ...
+    docs = docs.groupBy("spec_name").agg(F.count("*").alias("documents"), F.count(F.when(gaps, 1)).alias("torn"), F.count(F.when((F.col("k") > 1) & (F.col("n") <= F.col("capacity")), 1)).alias("cut_in_vain"))
+    return docs.join(over, "spec_name").select("spec_name", "documents", "overfull", "torn", "cut_in_vain")
+
+
 ship(__name__)

@@ -249,11 +249,19 @@ def test_mixing(spark):
     d = spark.createDataFrame(rows, "id long, source string, n long")
     targets = [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.15, 4), ("gone", 0.05, 3)]
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    recipe = mix.plan(d, "id", "source", "n", targets)
     m = mix.mix(d, "id", "source", "n", targets)
-    got = {r.source: r for r in mix.shares(d, m, "source", "n", "id", t).collect()}
+    got = {r.source: r for r in mix.shares(d, m, "source", "n", "id", t, recipe).collect()}
     for s, share, cap in targets[:3]:
-        assert abs(got[s].actual_share - share / 0.95) < 0.02 and got[s].most_repeats <= cap
-    assert got["gone"].actual_share == 0.0 and got["gone"].records_at_hand == 0
+        assert abs(got[s].actual_share - share / 0.95) < 0.01 and got[s].most_repeats <= cap and got[s].status == "reached" and 0 < recipe.draws[s][1] < 20
+    assert got["gone"].actual_share == 0.0 and got["gone"].records_at_hand == 0 and got["gone"].status == "no records"
+    big = mix.plan(d, "id", "source", "n", targets, total=1e6)
+    assert big.status["small"] == "short" and set(big.status.values()) == {"short"} and big.total == pytest.approx(sum(big.goals.values()))
+    some = mix.plan(d, "id", "source", "n", targets, total=2e5)
+    assert some.status["small"] == "short" and some.status["big"] == "reached" and sum(some.goals.values()) == pytest.approx(2e5)
+    few = spark.createDataFrame([(1, "a", 100_000), *((i, "b", 10) for i in range(2, 400)), (500, "c", 3)], "id long, source string, n long")
+    part = mix.plan(few, "id", "source", "n", [("a", 0.4, 1), ("b", 0.5, 2), ("c", 0.1, 1)])
+    assert part.status["a"] == "coarse" or part.status["b"] == "short"
     order = [r.shuffle_key for r in m.collect()]
     assert order == sorted(order) and m.exceptAll(mix.mix(d, "id", "source", "n", targets)).count() == 0
     assert mix.mix(d.limit(0), "id", "source", "n", targets).count() == 0
