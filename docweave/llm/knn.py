@@ -5,7 +5,7 @@
   collisions are verified. Virtual rehashing: the windows begin narrow and are widened for the queries that
   have not found k close enough vectors yet, without new hash tables.
 * So that no query meets all vectors, the vectors are first laid out in cells by the signs of projections on principal directions
-  (fitted on ``SAMPLE`` rows; every row is indexed). A query visits its own cell and those it reaches by turning the signs
+  (fitted on some ``SAMPLE`` rows, drawn by hash; every row is indexed). A query visits its own cell and those it reaches by turning the signs
   with the least margins; cells whose margins are within a cosine of 0.999 are all visited, as tight groups can lie across them. The number of signs follows the logarithm of the rows, so a cell keeps some ``CELL`` vectors at
   any size; cells that outgrow ``BLOCK`` are cut into blocks which all their queries visit.
 * Cells hold 8-bit codes, whose angle to the vector has a bound. A cell returns of a query's candidates all that can, within these bounds, be
@@ -15,7 +15,9 @@
 Equal vectors are hashed once; of a group of equal ones the k + 1 smallest ids stand for the rest as neighbours.
 
 Defined results: vectors that are NULL, of another length, all zero or not finite are neither queries nor neighbours; repeated ids
-count once; ties go to the smaller id. Measured on 189,394 vectors the cells hold 0.99 of all true pairs at 9 signs.
+count once; ties go to the smaller id. Measured on 189,394 vectors, what the cells hold of the true pairs: 0.996 at 9 signs (as that many vectors have),
+0.991 at 12, 0.983 at 15, 0.970 at 18, 0.950 at 21 (as of 10^9 vectors), 0.925 at 24. The vectors of a tight group share a cell, and are compared
+block by block: its work is quadratic in its distinct vectors (100,000: some 200 CPU seconds).
 """
 
 from __future__ import annotations
@@ -239,12 +241,14 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.8
     """(key, neighbor, cosine): of every usable vector the k others of the highest cosine, as far as it is ``least`` or more."""
     import numpy as np
 
-    sample = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).orderBy(F.xxhash64(key)).select(F.col(vector).cast("array<float>").alias("v")).limit(SAMPLE).toArrow()
+    n = df.count()
+    drawn = F.pmod(F.xxhash64(key, vector), F.lit(2**40)) < F.lit(min(2**40, 2**40 * SAMPLE // max(1, n)))  # some SAMPLE rows in all: every task sends its part and no more
+    sample = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull() & drawn).select(F.col(vector).cast("array<float>").alias("v")).toArrow()
     column = sample.column("v").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
     v = usable(*flat(column), dim)[1].astype(np.float64) if len(column) else np.empty((0, dim))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    signs = min(dim, max(0, round(math.log2(max(1, df.count()) / CELL))))
+    signs = min(dim, max(0, round(math.log2(max(1, n) / CELL))))
     probes = min(2 ** min(signs, 8), max(1, math.ceil(1.4 * signs)))
     axes, medians = directions(v, signs)
     rows = materialize(indexed(df, key, vector, dim, signs, probes, axes, medians), "vectors")
