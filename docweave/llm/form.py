@@ -111,7 +111,7 @@ def connect():
 
     con = duckdb.connect(":memory:")
     con.execute("SET threads=1")
-    con.execute("SET memory_limit='2GB'")
+    con.execute("SET memory_limit='1GB'")  # two workers share an executor; a longer text than that allows spills
     con.execute("SET preserve_insertion_order=true")
     return con
 
@@ -169,13 +169,55 @@ def equal_looking(df: DataFrame, key: str, text: str, by: list[str] = ()) -> Dat
     return variant_pairs(with_form(h, "_text", "f", "md5(form)", keep_text=False).distinct(), "_key", names)
 
 
+#: Rows of a group that one task compares with each other; larger groups are cut in blocks.
+GROUP = 2_000
+
+
+def in_blocks(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """rows with _blocks, how many blocks of some ``limit`` rows their group has, and _blk, a hash of the row that says which is its own."""
+    large = rows.groupBy(*by).agg(F.ceil(F.count("*") / limit).cast("int").alias("_blocks")).where("_blocks > 1")
+    rows = rows.join(large, by, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    return rows.withColumn("_blk", F.pmod(F.xxhash64(*(c for c in rows.columns if c != "_blocks")), "_blocks").cast("int"))
+
+
+def paired(rows: DataFrame, by: list[str], limit: int = GROUP) -> DataFrame:
+    """Every two rows of a group, both ways around, as structs x and y. Two blocks of a large group meet in a task of their own, so no task sees a whole group."""
+    r = in_blocks(rows, by, limit)
+    cols = F.struct(*rows.columns)
+    x = r.select(*by, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j"), F.col("_blk").alias("_i"), cols.alias("x"))
+    y = r.select(*by, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"), F.col("_blk").alias("_j"), cols.alias("y"))
+    return x.join(y, [*by, "_i", "_j"]).select(*by, "x", "y")
+
+
+def crossed(left: DataFrame, right: DataFrame, by: list[str], limit: int = GROUP) -> DataFrame:
+    """left joined with right on ``by``; large groups of either are cut in blocks, and every two blocks meet in a task of their own."""
+    x, y = in_blocks(left, by, limit), in_blocks(right, by, limit)
+    nx, ny = (d.where("_blocks > 1").select(*by, F.col("_blocks").alias("_n")).distinct() for d in (x, y))
+
+    def placed(d: DataFrame, own: str, others: DataFrame, other: str) -> DataFrame:
+        d = d.withColumnRenamed("_blk", own).drop("_blocks").join(others, by, "left")
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+
+    return placed(x, "_x", ny, "_y").join(placed(y, "_y", nx, "_x"), [*by, "_x", "_y"]).drop("_x", "_y")
+
+
 def variant_pairs(h: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
     """Of rows (key, by, f, t) the pairs of equal f and different t. Forms written in one way only are left out before the join."""
     h = materialize(h, "forms")
     spelled = h.groupBy("f", "t", *by).agg(F.lit(1).alias("one")).groupBy("f", *by).agg(F.count("*").alias("n")).where("n > 1").select("f", *by)
-    h = h.join(spelled, ["f", *by], "left_semi")
-    a, b = h.select("f", *by, F.col(key).alias("key_a"), F.col("t").alias("ta")), h.select("f", *by, F.col(key).alias("key_b"), F.col("t").alias("tb"))
-    return a.join(b, ["f", *by]).where("ta <> tb AND key_a < key_b").select("key_a", "key_b").distinct()
+    h = h.join(spelled, ["f", *by], "left_semi").select(F.col(key).alias("_k"), "f", "t", *by)
+    return paired(h, ["f", *by]).where("x.t <> y.t AND x._k < y._k").select(F.col("x._k").alias("key_a"), F.col("y._k").alias("key_b")).distinct()
+
+
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, spellings, records): of each text the smallest key of its form, and how many spellings and records the form has. Linear, however many look alike.
+
+    NULL text has no class; a repeated key counts once.
+    """
+    h = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.md5(text).alias("t"))
+    h = materialize(with_form(h, "_text", "f", "md5(form)", keep_text=False).distinct(), "forms")
+    c = h.groupBy("f", "t").agg(F.min("_key").alias("k"), F.count("*").alias("n")).groupBy("f").agg(F.min("k").alias("class_id"), F.count("*").alias("spellings"), F.sum("n").alias("records"))
+    return h.join(c, "f").select(F.col("_key").alias(key), "class_id", "spellings", "records")
 
 
 def requested_names(requests: DataFrame) -> DataFrame:
@@ -202,10 +244,15 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     names = with_form(names.withColumn("t", F.md5("name")), "name", "f", "md5(form)", keep_text=False)
     a = names.where("side = 0").select("f", "s", F.col("key").alias("key_a"), F.col("t").alias("ta"))
     b = names.where("side = 1").select("f", "s", F.col("key").alias("key_b"), F.col("t").alias("tb"))
-    named = a.join(b, ["f", "s"]).where("ta <> tb").select("key_a", "key_b").distinct()
+    named = crossed(a, b, ["f", "s"]).where("ta <> tb").select("key_a", "key_b").distinct()
     return found.select(F.lit("content").alias("field_name"), "key_a", "key_b").union(named.select(F.lit("filenames").alias("field_name"), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")))
 
 
+def p5_classes(spark, sf_dir: str) -> DataFrame:
+    """Every chunk's class of equal-looking bodies, with the spellings and records of it."""
+    return look_classes(bodies(table(spark, sf_dir, "chunks")), "doc_id", "body")
+
+
 def p5_forms(spark, sf_dir: str) -> DataFrame:
     """Every chunk's content and file name in one form, and every requested name: rows without doc_id, by request_id and place from 1."""
     c = table(spark, sf_dir, "chunks").dropDuplicates(["doc_id"]).select("doc_id", "content", "original_filename")

@@ -3,7 +3,9 @@
 1. Each text becomes the set of its runs of ``size`` successive words (or characters), and the set a signature of ``COORDINATES``
    values, each made of ``ROWS`` minima under random hashes. Rows of one set share a set id; only sets are compared, so copies cost nothing.
 2. Sets are posted under each coordinate-value pair. A sorted stream over the postings skips values that one set
-   has alone (nearly all) and emits the pairs of the others; lists too long for that are joined block by block.
+   has alone (nearly all) and emits the pairs of the others; lists too long for that are joined block by block. Prefix merging: with
+   the lists ordered by length, sets that share ``LEAST`` = 2 of them share one that isn't the longest of either. So a set's longest list, if it is
+   too long for the stream, makes no pairs; it is looked up (skipped to) only for pairs met elsewhere. Sets that have but one long list in common cost nothing.
 3. Collisions are counted by pair; a value's place among a set's coordinates is part of the posted key, so a pair
    meets at most once a coordinate. Merging skips what cannot count: lists of one set, and repeated postings of a set.
 4. Pairs with at least ``LEAST`` of ``COORDINATES`` matches are verified by the sets themselves.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.form import bodies, requested_names, stored_names, with_form
+from docweave.llm.form import GROUP, bodies, crossed, paired, requested_names, stored_names, with_form
 from docweave.session import materialize, once, ship, table
 
 COORDINATES, ROWS, LEAST = 48, 3, 2
@@ -186,15 +188,24 @@ def colliding(signed_rows: DataFrame, two_sided: bool = False, longest: int = LI
     posts = posts.repartition("key").sortWithinPartitions("key", "id")
     out = materialize((posts if two_sided else posts.withColumn("side", F.lit(0))).mapInArrow(_pairs_of_postings(two_sided, longest), "a bigint, b bigint, key bigint, side int"), "pairs")
     pairs = out.where("b IS NOT NULL").select("a", "b")
+    if out.where("b IS NULL").isEmpty():
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("matches"))
     hot = out.where("b IS NULL").select("key", F.col("a").alias("id"), "side").distinct()
-    if not out.where("b IS NULL").isEmpty():  # lists over the limit: every two blocks of a list meet in one group
-        blocks = hot.join(hot.groupBy("key").agg(F.ceil(F.count("*") / longest).cast("int").alias("n")), "key").withColumn("blk", F.pmod(F.xxhash64("id"), "n").cast("int"))
-        x = blocks.select("key", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("n") - 1)).alias("j"), F.col("id").alias("a"), F.col("side").alias("sa"))
-        y = blocks.select("key", F.explode(F.sequence(F.lit(0), "blk")).alias("i"), F.col("blk").alias("j"), F.col("id").alias("b"), F.col("side").alias("sb"))
-        met = x.join(y, ["key", "i", "j"]).where("a <> b AND (i <> j OR a < b)")
-        met = met.where("sa <> sb").select(F.when(F.col("sa") == 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("sa") == 0, F.col("b")).otherwise(F.col("a")).alias("b")) if two_sided else met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.union(met)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("matches"))
+    hot = materialize(hot.join(hot.groupBy("key").agg(F.count("*").alias("n")), "key"), "hot")
+    last = hot.groupBy("id").agg(F.max_by("key", F.struct("n", "key")).alias("last"))
+    first = hot.join(last, "id").where("key <> last")  # a set's longest list makes no pairs
+    met = paired(first.select("key", "id", "side"), ["key"], longest)
+    met = met.where("x.side = 0 AND y.side = 1" if two_sided else "x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    met = materialize(pairs.union(met).groupBy("a", "b").agg(F.count("*").alias("matches")), "met")
+    # What two sets have in a list left out by one of them, counted where it decides: the list is looked up among the other's.
+    few = met.where(F.col("matches") < LEAST)
+    posts = hot.select("key", "id")
+    looked = []
+    for one, other in (("a", "b"), ("b", "a")):
+        asked = few.join(last.select(F.col("id").alias(one), F.col("last").alias("key")), one).select("a", "b", "key")
+        looked.append(asked.join(posts.withColumnRenamed("id", other), ["key", other], "left_semi").select("a", "b", "key"))
+    more = looked[0].union(looked[1]).distinct().select("a", "b", F.lit(1).cast("long").alias("matches"))
+    return met.union(more).groupBy("a", "b").agg(F.sum("matches").alias("matches"))
 
 
 def similar_sets(signed_rows: DataFrame, threshold: float = 0.8, two_sided: bool = False) -> DataFrame:
@@ -213,11 +224,15 @@ def record_pairs(signed_rows: DataFrame, sets: DataFrame, two_sided: bool = Fals
     """Pairs of keys: the members of similar sets and, on one side, the members of one set."""
     members = signed_rows.select("key", "set_id")  # a key may come again: the pairs are made distinct at the end
     a, b = members.select(F.col("set_id").alias("a"), F.col("key").alias("x")), members.select(F.col("set_id").alias("b"), F.col("key").alias("y"))
-    pairs = sets.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
+    many = materialize(signed_rows.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1"), "many")
+    if many.where(F.col("n") > GROUP).isEmpty():
+        pairs = sets.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
+    else:  # the copies of one text are more than a task should meet: blocks of them meet one by one
+        left = materialize(crossed(a, sets.select("a", "b"), ["a"]).select("b", "x"), "left")
+        pairs = crossed(left, b, ["b"]).select("x", "y")
     if not two_sided:
-        many = signed_rows.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select("set_id")
-        m = materialize(members.join(many, "set_id", "left_semi").distinct(), "copies")
-        pairs = pairs.union(m.select("set_id", F.col("key").alias("x")).join(m.select("set_id", F.col("key").alias("y")), "set_id").where("x < y").select("x", "y"))
+        m = members.join(many.select("set_id"), "set_id", "left_semi").distinct()
+        pairs = pairs.union(paired(m, ["set_id"]).where("x.key < y.key").select(F.col("x.key").alias("x"), F.col("y.key").alias("y")))
     return pairs.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
