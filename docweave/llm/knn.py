@@ -36,6 +36,7 @@ LEVELS = (0.225, 0.45)
 STEP = 0.03
 CELL, BLOCK, SAMPLE = 400, 4096, 8192
 MANY = 32
+PROBES = 8
 TIGHT = 2 * (1 - 0.999)
 
 
@@ -80,7 +81,7 @@ def indexed(df: DataFrame, key: str, vector: str, dim: int, signs: int, probes:
         import xxhash
 
         margins = min(signs, 8)
-        turns = np.array(list(itertools.product([0, 1], repeat=margins)), np.float64).reshape(-1, margins)
+        turns = np.array(list(itertools.product([0, 1], repeat=margins)), np.float64).reshape(2**margins, margins)
         for batch in batches:
             rows, v = usable(*flat(batch.column(vector)), dim)
             if not len(rows):
@@ -249,7 +250,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.8
     v = usable(*flat(column), dim)[1].astype(np.float64) if len(column) else np.empty((0, dim))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     signs = min(dim, max(0, round(math.log2(max(1, n) / CELL))))
-    probes = min(2 ** min(signs, 8), max(1, math.ceil(1.4 * signs)))
+    probes = min(2 ** min(signs, 8), max(PROBES, math.ceil(1.4 * signs)))
     axes, medians = directions(v, signs)
     rows = materialize(indexed(df, key, vector, dim, signs, probes, axes, medians), "vectors")
     one = rows.groupBy("vid").agg(F.first("cell").alias("cell"), F.first("code").alias("code"))

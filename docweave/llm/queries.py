@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import form, knn, mix, neardup, pack, pii, split, templates
+from docweave.llm import form, knn, mix, neardup, oracles, pack, pii, split, templates
 
 
 def queries() -> dict:
@@ -10,7 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    blank = r"[\s\x0b\x{85}\p{Z}]"
-    return {
-        "p6_found": f"SELECT DISTINCT doc_id FROM chunks WHERE len(list_filter(regexp_split_to_array(content, '{blank}+'), lambda w: w <> '')) > 700",
-    }
+    return oracles.oracle_sql()

@@ -64,3 +64,14 @@ def test_classes_of_forms(spark):
     assert form.look_classes(d.limit(0), "k", "t").count() == 0
     many = spark.range(50_000).select(F.col("id").cast("string").alias("k"), F.repeat(F.lit(" "), (F.col("id") % 500).cast("int")).alias("t"))
     assert form.look_classes(many, "k", "t").select("spellings", "records").distinct().collect() == [(500, 50_000)]
+
+
+def test_few_vectors_need_no_cells(spark):
+    import numpy as np
+
+    from docweave.llm import knn
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    d = spark.createDataFrame([(f"v{i}", (base + 0.1 * rng.normal(size=64)).tolist()) for i in range(12)], "k string, e array<float>")
+    assert knn.nearest(d, "k", "e").count() == 60
