@@ -56,11 +56,20 @@ def test_repeated_lines(spark):
     assert templates.repeated_lines(d.limit(0)).count() == 0
 
 
-def test_token_tree_has_digit_slots_and_may_begin_anew():
+def test_token_trees_merge(spark):
     t, u = templates.TokenTree(), templates.TokenTree(most=0)
-    lines = ["page 1 of 20", "page 33 of 4", "page x of 4", "page 1 of 20 more"]
-    ids = [t.add(1, x) for x in lines]
-    assert ids[0] == ids[1] and len(set(ids)) == 3 and [u.add(1, x) for x in lines] == ids and t.add(2, lines[0]) != ids[0]
+    lines = ["page 1 of 20", "page 33 of 4", "page x of 4", "page 1 of 20 more words", "1"]
+    ids = [t.add(1, x, d) for d, x in enumerate(lines)]
+    assert ids[0] == ids[1] and len(set(ids)) == 4 and t.add(2, lines[0], 9) not in ids
+    assert sorted(t.put_out())[:1] != [] and t.put_out() == []
+    parts = []
+    for d, x in enumerate(lines):  # a tree begun anew for every line puts out the same leaves
+        assert u.add(1, x, d) == ids[d] and u.full()
+        parts += u.put_out()
+    assert sorted(parts) == sorted((1, i, d) for d, i in enumerate(ids))
+    rows = [(f"d{i}", f"same line {i}\nown {'abcdefghij'[i]}", "A", "s", f"f{i}") for i in range(10)]
+    d = spark.createDataFrame(rows, CHUNK).repartition(5)  # the leaves of five trees are one template
+    assert {r.doc_id: r.lines for r in templates.repeated_lines(d, 10, 1.0).collect()} == {f"d{i}": [1] for i in range(10)}
 
 
 def jaccard(a, b, n, unit):
