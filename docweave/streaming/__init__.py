@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from collections.abc import Callable
@@ -44,28 +43,88 @@ def latest_status(tasks: DataFrame) -> DataFrame:
     return t.select("task_id", "sosok", "site", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"), "events")
 
 
-def status_changes(tasks: DataFrame) -> DataFrame:
-    """The stream of a site's changes: (channel, task_id, status, ts, active), one row when a task's known latest status moves on; state is a site's open tasks.
+CHANGES = "channel string, task_id string, status string, ts timestamp, active boolean"
 
-    Finished tasks leave the state, so it holds what is under way and no more; what comes for them later is older than their end and shows as a change only if it is newer.
+
+def channels(tasks: DataFrame) -> DataFrame:
+    """Task events with the channel of their site; those without a site have none."""
+    return tasks.where("site IS NOT NULL").withColumn("channel", F.concat_ws("_", F.trim("sosok"), F.trim("site"))).select("channel", "task_id", "status", "ts")
+
+
+def status_changes(tasks: DataFrame, keep: str = "7 days") -> DataFrame:
+    """The stream of changes (channel, task_id, status, ts, active): a row when a task's known latest status moves on.
+
+    State is a row a task, so a busy site is no hot key. An event as old as the known one, or older, changes nothing; of events of one time the last by
+    status counts. A task that has ended leaves the state ``keep`` after its end, in event time; the watermark is as late, so what comes for it afterwards is dropped.
     """
+    open_for = int(milliseconds(keep))
 
     def each(key, frames, state: GroupState):
-        known = json.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, at = state.get if state.exists else (None, -(2**62))
         rows = []
-        for f in frames:
-            for task, status, ts in f.sort_values("ts")[["task_id", "status", "ts"]].itertuples(index=False):
-                old = known.get(task)
-                if old and old[1] >= ts.isoformat():
-                    continue
-                if not old or old[0] != status:
-                    rows.append((key[0], task, status, ts, status in ACTIVE))
-                known[task] = [status, ts.isoformat()]
-        state.update((json.dumps(known),))
-        yield pd.DataFrame(rows, columns=["channel", "task_id", "status", "ts", "active"])
-
-    keyed = tasks.where("site IS NOT NULL").withColumn("channel", F.concat_ws("_", F.trim("sosok"), F.trim("site"))).select("channel", "task_id", "status", "ts")
-    return keyed.groupBy("channel").applyInPandasWithState(each, "channel string, task_id string, status string, ts timestamp, active boolean", "known string", "append", GroupStateTimeout.NoTimeout)
+        events = pd.concat(list(frames)).sort_values(["ts", "status"]).drop_duplicates("ts", keep="last")
+        for s, ts, us in zip(events["status"], events["ts"], events["us"], strict=True):
+            if us > at:
+                if s != status:
+                    rows.append((*key, s, ts, s in ACTIVE))
+                status, at = s, us
+        state.update((status, at))
+        if status not in ACTIVE:
+            state.setTimeoutTimestamp(max(at // 1000 + open_for, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["channel", "task_id", "status", "ts", "active"])
+
+    keyed = channels(tasks).withColumn("us", F.unix_micros("ts")).withWatermark("ts", keep)
+    return keyed.groupBy("channel", "task_id").applyInPandasWithState(each, CHANGES, "status string, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def milliseconds(text: str) -> float:
+    return pd.Timedelta(text).total_seconds() * 1000
+
+
+def pushed(changes: DataFrame, send: Callable[[str, list[str]], None], checkpoint: str | None = None):
+    """A writer of the changes to their channels: ``send(channel, frames)`` runs on the executors, once a channel and partition with its event frames in order of time."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        frames = batch.withColumn("frame", F.to_json(F.struct(F.lit("task_update").alias("type"), "task_id", "status", "ts", "active")))
+
+        def each(rows):
+            by: dict[str, list[str]] = {}
+            for r in rows:
+                by.setdefault(r.channel, []).append(r.frame)
+            for channel, out in by.items():
+                send(channel, out)
+
+        frames.repartition("channel").sortWithinPartitions("channel", "ts").select("channel", "frame").foreachPartition(each)
+
+    w = changes.writeStream.foreachBatch(write)
+    return w.option("checkpointLocation", checkpoint) if checkpoint else w
+
+
+def channel_replies(tasks: DataFrame, commands: DataFrame) -> DataFrame:
+    """What each command (channel, seq, type, task_id) is answered with: (channel, seq, reply, tasks), tasks as an array of (task_id, status, ts) by time, the latest first.
+
+    ``ping`` is answered by ``pong``. ``dismiss_task`` takes one task off the channel's list, ``dismiss_all_completed`` all that have ended by then; ``refresh`` and the
+    dismissals are answered by ``task_update`` and the list that is left. ``heartbeat`` (sent by a timer) is answered by the list only while a task is under way, else by ``ping``; an unknown type by nothing.
+    A task dismissed stays off for later commands of the channel, in the order of seq.
+    """
+    known = channels(tasks).groupBy("channel", "task_id").agg(F.max(F.struct("ts", "status")).alias("m")).select("channel", "task_id", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"))
+    ended = ~F.col("t.status").isin(*ACTIVE)
+    c, t = commands.alias("c"), known.alias("t")
+    gone = c.where("c.type IN ('dismiss_task', 'dismiss_all_completed')").join(t, "channel").where(F.when(F.col("c.type") == "dismiss_task", F.col("c.task_id") == F.col("t.task_id")).otherwise(ended))
+    gone = gone.groupBy("channel", F.col("t.task_id").alias("task_id")).agg(F.min("c.seq").alias("gone_at"))
+    left = known.join(gone, ["channel", "task_id"], "left")
+    asked = commands.where("type IN ('refresh', 'dismiss_task', 'dismiss_all_completed', 'heartbeat')").select("channel", "seq", "type")
+    shown = asked.join(left, "channel").where(F.col("gone_at").isNull() | (F.col("gone_at") > F.col("seq")))
+    lists = shown.groupBy("channel", "seq").agg(F.sort_array(F.collect_list(F.struct("ts", "task_id", "status")), asc=False).alias("l"), F.max(F.col("status").isin(*ACTIVE)).alias("busy"))
+    out = commands.where("type IN ('ping', 'refresh', 'dismiss_task', 'dismiss_all_completed', 'heartbeat')").join(lists, ["channel", "seq"], "left")
+    quiet = (F.col("type") == "heartbeat") & ~F.coalesce("busy", F.lit(False))
+    reply = F.when(F.col("type") == "ping", "pong").when(quiet, "ping").otherwise("task_update")
+    listed = F.transform(F.coalesce("l", F.array().cast("array<struct<ts: timestamp, task_id: string, status: string>>")), lambda x: F.struct(x.task_id.alias("task_id"), x.status.alias("status"), x.ts.alias("ts")))
+    return out.select("channel", "seq", reply.alias("reply"), F.when(reply == "task_update", listed).alias("tasks"))
 
 
 def uploads_per_day(tasks: DataFrame, lateness: str = "2 days") -> DataFrame:
