@@ -39,11 +39,6 @@ def named(names: list[str]):
     return strip_blanks(F.col("original_filename")).isin(names) if names else F.lit(True)
 
 
-def first_of_file():
-    """Of each file the row that comes first by section and id."""
-    return Window.partitionBy("file_id").orderBy(F.col("section_number").asc_nulls_last(), "doc_id")
-
-
 def list_documents(chunks: DataFrame, who: Principal) -> DataFrame:
     """A row a file: the first section's fields, its sections, first total of pages that is not 0, and its pages in order."""
     c = once_each(chunks.where(can_see(who)), "file_id", "original_filename", "tags", "sosok", "site", "section_number", "total_pdf_pages", "page_number")

@@ -13,21 +13,36 @@ from docweave.session import ship, strip_blanks
 WINDOW, OVERLAP = 700, 100
 
 
-def token_windows(pages: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of blank-separated tokens over each file's pages (file_id, page_num, text), joined in page order.
+def tokenized(pages: DataFrame, tokenizer: Callable[[str], list[str]]) -> DataFrame:
+    """(file_id, page_num, t) with the tokens a tokenizer gives, in Arrow batches; NULL text has none."""
+
+    def each(batches):
+        for b in batches:
+            t = [tokenizer(x) if x else [] for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("page_num"), pa.array(t, pa.list_(pa.string()))], ["file_id", "page_num", "t"])
+
+    d = pages.select("file_id", "page_num", "text")
+    return d.mapInArrow(each, d.select("file_id", "page_num", F.array(F.lit("")).alias("t")).schema)
+
+
+def token_windows(pages: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, tokenizer: Callable[[str], list[str]] | None = None, joiner: str = " ") -> DataFrame:
+    """Windows of tokens over each file's pages (file_id, page_num, text), joined in page order: what stands between blanks, or what ``tokenizer`` gives, put together by ``joiner``.
 
     (file_id, seq from 1, start_token, start_page, n_tokens, content). A file without tokens has none; the last window may lie
     within the one before. The page is where the window's first token stands.
     """
     stride = window - overlap
-    p = pages.select("file_id", "page_num", F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda t: t != "").alias("t"))
+    if tokenizer:
+        p = tokenized(pages, tokenizer)
+    else:
+        p = pages.select("file_id", "page_num", F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda t: t != "").alias("t"))
     f = p.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("page_num", "t"))).alias("p"))
     f = f.select("file_id", F.flatten(F.transform("p", lambda x: x.t)).alias("t"), F.transform("p", lambda x: F.struct(x.page_num.alias("page"), F.size(x.t).alias("n"))).alias("p"))
     ends = F.aggregate("p", F.expr("CAST(array() AS ARRAY<STRUCT<page: INT, until: INT>>)"), lambda a, x: F.concat(a, F.array(F.struct(x.page.cast("int").alias("page"), (x.n + F.coalesce(F.try_element_at(a, F.lit(-1)).until, F.lit(0))).alias("until")))))
     f = f.where(F.size("t") > 0).withColumn("ends", ends).select("file_id", "t", "ends", F.posexplode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(stride))).alias("i", "start_token"))
     page = F.coalesce(F.get(F.filter("ends", lambda e: e.until > F.col("start_token")), 0).page, F.lit(1))
     piece = F.slice("t", F.col("start_token") + 1, window)
-    return f.select("file_id", (F.col("i") + 1).alias("seq"), "start_token", page.alias("start_page"), F.size(piece).alias("n_tokens"), F.array_join(piece, " ").alias("content"))
+    return f.select("file_id", (F.col("i") + 1).alias("seq"), "start_token", page.alias("start_page"), F.size(piece).alias("n_tokens"), F.array_join(piece, joiner).alias("content"))
 
 
 def section_records(sections: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:

@@ -23,8 +23,10 @@ def cosine(vector: Column, query: list[float]) -> Column:
     return F.when(F.size(vector) == 0, F.lit(0.0)).when(F.size(vector) == len(query), sums)
 
 
-def scored(df: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
-    """df with ``score`` in place of the vector, for the vectors that have one; the same values as ``cosine``, a batch at a time as matrix products."""
+def scored(df: DataFrame, query: list[float], vector: str = "embedding", top: int | None = None) -> DataFrame:
+    """df with ``score`` in place of the vector, for the vectors that have one; the same values as ``cosine``, a batch at a time as matrix products.
+
+    With ``top`` a partition gives only the rows of its ``top`` best doc_ids (ties: the smaller), which hold those of all partitions: what is left to sort doesn't grow with the rows."""
     kept = [c for c in df.columns if c != vector]
     schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias("score")).schema
 
@@ -33,6 +35,7 @@ def scored(df: DataFrame, query: list[float], vector: str = "embedding") -> Data
         import pyarrow as pa
 
         q = np.array(query, np.float64)
+        best: dict[str, float] = {}
         for b in batches:
             v = b.column(vector)
             v = v.fill_null([]) if v.null_count else v
@@ -44,8 +47,17 @@ def scored(df: DataFrame, query: list[float], vector: str = "embedding") -> Data
                 s = (m @ q) / (np.sqrt((m * m).sum(1)) * np.sqrt(q @ q))
             good = np.isfinite(s)
             rows, s = rows[good], s[good]
+            if top is not None:
+                for i, x in zip(b.column("doc_id").take(pa.array(rows)).to_pylist(), s.tolist(), strict=True):
+                    best[i] = max(x, best.get(i, x))
+                best = dict(sorted(best.items(), key=lambda r: (-r[1], r[0]))[:top])
+                continue
             yield pa.RecordBatch.from_arrays([*b.select(kept).take(pa.array(rows)).columns, pa.array(s)], [*kept, "score"])
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array(list(best.values()), pa.float64())], ["doc_id", "score"])
 
+    if top is not None and kept != ["doc_id"]:
+        raise ValueError("the best rows are those of a doc_id alone")
     return df.where(F.size(vector) == len(query)).withColumn(vector, F.col(vector).cast("array<double>")).mapInArrow(each, schema)
 
 
@@ -56,17 +68,23 @@ def matching(chunks: DataFrame, who: Principal, tags: list[str] | None = None, n
 
 def search(chunks: DataFrame, query: list[float], who: Principal, tags: list[str] | None = None, names: list[str] | None = None, n: int = TOP) -> DataFrame:
     """The n most similar matching chunks; ties go to the smaller doc_id. Only ids and scores are sorted before the rest is looked at."""
-    found = scored(spread(matching(chunks, who, tags, names).select("doc_id", "embedding")), query)
-    best = found.groupBy("doc_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
+    found = best_of(scored(spread(matching(chunks, who, tags, names).select("doc_id", "embedding")), query, top=n), n)
+    best = {r["doc_id"]: r["score"] for r in found.collect()}  # n rows
     fields = ["doc_id", "file_id", "original_filename", "tags", "sosok", "site", "section_title", "section_id", "page_number", "content"]
-    rows = chunks.select(*fields).join(F.broadcast(best), "doc_id").dropDuplicates(["doc_id"])  # n rows
-    return rows.select(*fields, F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id")
+    rows = chunks.where(F.col("doc_id").isin(list(best))).select(*fields).dropDuplicates(["doc_id"])  # pushed down: groups of rows without these ids are not read
+    score = F.lit(None).cast("double")
+    for i, x in best.items():
+        score = F.when(F.col("doc_id") == i, F.lit(x)).otherwise(score)
+    return rows.withColumn("_score", score).orderBy(F.desc("_score"), "doc_id").select(*fields, F.round("_score", 4).alias("score"))
+
+
+def best_of(found: DataFrame, n: int, name: str = "score") -> DataFrame:
+    return found.groupBy("doc_id").agg(F.max("score").alias(name)).orderBy(F.desc(name), "doc_id").limit(n)
 
 
 def similar(chunks: DataFrame, query: list[float], filters: dict | None = None, n: int = 10) -> DataFrame:
     """The n most similar chunks under metadata equalities: (doc_id, similarity_score)."""
-    found = scored(spread(where_equal(chunks, filters or {}).select("doc_id", "embedding")), query)
-    return found.groupBy("doc_id").agg(F.max("score").alias("similarity_score")).orderBy(F.desc("similarity_score"), "doc_id").limit(n)
+    return best_of(scored(spread(where_equal(chunks, filters or {}).select("doc_id", "embedding")), query, top=n), n, "similarity_score")
 
 
 def search_counts(chunks: DataFrame, who: Principal, tags: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
@@ -88,17 +106,19 @@ def prompt(found: DataFrame, question: str, instruction: str = "다음 문서를
 def answer(found: DataFrame, question: str, generate) -> DataFrame:
     """Server-sent events (seq, frame) of what ``generate(prompt)`` yields; its failure is an event too; the last frame is [DONE]."""
 
+    def parts_of(p):
+        try:
+            yield from generate(p) if p else [NOTHING]
+        except Exception as e:  # noqa: BLE001
+            yield f"[error] {e}"
+
     def each(batches):
         import pyarrow as pa
 
         for batch in batches:
             for p in batch.column("prompt").to_pylist():
-                parts = []
-                try:
-                    parts += generate(p) if p else [NOTHING]
-                except Exception as e:  # noqa: BLE001
-                    parts.append(f"[error] {e}")
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["seq", "text"])
+                for i, part in enumerate(parts_of(p)):  # each part goes on as it comes
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.string())], ["seq", "text"])
 
     frames = prompt(found, question).select("prompt").mapInArrow(each, "seq int, text string").select("seq", sse_frame(F.col("text")).alias("frame"))
     return frames.union(frames.sparkSession.range(1).select(F.lit(2**31 - 1).alias("seq"), F.lit("data: [DONE]\n\n").alias("frame")))

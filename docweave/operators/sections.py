@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from docweave.session import ship
 
 # Forms of headings and of lines that stay by themselves.
-HEADING = re.compile(r"^(?:제\s*\d{1,3}\s*장)|(?:첨부\s*\d{1,3})|(?:\d{1,2}(?:\.\d{1,2}){1,3})\.?\s+(?!Radio Navigation and Landing Aids)[^\s\d].+", re.M)
+HEADING = re.compile(r"^[ \t]*(?P<head>제\s*\d{1,3}\s*장|첨부\s*\d{1,3}|\d{1,2}(?:\.\d{1,2}){1,3}\.?\s+(?P<name>[^\s\d].+))", re.M)
 ITEM = re.compile(r"\s*(?:[-*•⦁●∙·‣▪►☐・]|[0-9]+\.|\([0-9]+\)|\[[^\]]+\])\s*")
 TABLE_MARK = re.compile(r"\[표\s+\d+\s+-\s+페이지\s+\d+\s+(시작|끝)\]$")
 TABLE = re.compile(r"\[표\s+\d+\s+-\s+페이지\s+\d+\s+시작\].*?\[표\s+\d+\s+-\s+페이지\s+\d+\s+끝\]", re.S)
@@ -58,17 +58,23 @@ class Heading:
         self.depth = 0 if kind else len(self.number)
 
 
-def headings(pages: list[str]) -> list[Heading]:
+def heads_of(text: str, not_headings: tuple[str, ...] = ()):
+    """The headings of a text as matches: each begins its line. A numbered one whose name begins with one of ``not_headings`` (a title that is set in every page's head, say) is none."""
+    return (m for m in HEADING.finditer(text) if not (m["name"] and m["name"].startswith(not_headings)))
+
+
+def headings(pages: list[str], not_headings: tuple[str, ...] = ()) -> list[Heading]:
     """All headings outside tables, in order. The very first chapter heading, if it is the first chapter's, belongs to the contents page."""
     out, chapters = [], 0
     for n, page in enumerate(pages):
-        for m in HEADING.finditer(TABLE.sub("", page)):
-            if re.match(r"제\s*\d{1,3}\s*장", m[0]):
+        for m in heads_of(TABLE.sub("", page), not_headings):
+            head = m["head"]
+            if re.match(r"제\s*\d{1,3}\s*장", head):
                 chapters += 1
-                if chapters == 1 and re.match(r"제\s*1\s*장", m[0]):
+                if chapters == 1 and re.match(r"제\s*1\s*장", head):
                     continue
             if (at := page.find(m[0])) >= 0:
-                out.append(Heading(n, at, m[0]))
+                out.append(Heading(n, at + m.start("head") - m.start(), head))
     return sorted(out, key=lambda h: (h.page, h.start))
 
 
@@ -94,14 +100,14 @@ def late(number: list[int], taken: set[tuple[int, ...]]) -> bool:
     return any((len(t) > len(n) and t[: len(n)] == n) or (len(t) == len(n) and t[:-1] == n[:-1] and t[-1] > n[-1]) for t in taken)
 
 
-def split_sections(pages: list[str], title: str | None = None, compat: bool = False) -> list[dict]:
+def split_sections(pages: list[str], title: str | None = None, compat: bool = False, not_headings: tuple[str, ...] = ()) -> list[dict]:
     """The sections of one document's pages.
 
     Collection begins with the first chapter. Within a chapter its numbers are taken; late ones, and numbers of chapter 3 with more than two levels, go
     to the section before, each text once. Numbers of other chapters are left out, appendices count from chapter 6 on. By default the first
     number after a chapter heading is a section of its own; ``compat=True`` joins it to the chapter (or drops it, where its number comes again).
     """
-    found = headings(pages)
+    found = headings(pages, not_headings)
     counts = Counter(h.id for h in found)
     out: list[dict] = []
     merged: set[str] = set()
@@ -158,9 +164,9 @@ def split_sections(pages: list[str], title: str | None = None, compat: bool = Fa
     return out
 
 
-def split_outline(text: str) -> list[dict]:
+def split_outline(text: str, not_headings: tuple[str, ...] = ()) -> list[dict]:
     """Sections of flowing text (word-processor and slide files): collection begins at 1.1.1; a heading out of order joins the section before, each text once."""
-    heads = [Heading(0, m.start(), m[0]) for m in HEADING.finditer(text)]
+    heads = [Heading(0, m.start("head"), m["head"]) for m in heads_of(text, not_headings)]
     out: list[dict] = []
     seen: set[str] = set()
     before = None
@@ -178,11 +184,11 @@ def split_outline(text: str) -> list[dict]:
     return out
 
 
-def sections(pages: DataFrame, compat: bool = False, flowing: bool = False) -> DataFrame:
+def sections(pages: DataFrame, compat: bool = False, flowing: bool = False, not_headings: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, seq, title, section_id, content, start_page) of pages (file_id, page_num, text): state runs over a document's headings, so pages stream by document, one document in memory at a time."""
 
     def rows(file_id: str, texts: list[str]):
-        found = split_outline("\n".join(texts)) if flowing else split_sections(texts, compat=compat)
+        found = split_outline("\n".join(texts), not_headings) if flowing else split_sections(texts, compat=compat, not_headings=not_headings)
         return [(file_id, i, s["title"], s["section_id"], s["content"], s["start_page"]) for i, s in enumerate(found, 1)]
 
     def each(batches):

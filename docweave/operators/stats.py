@@ -56,6 +56,26 @@ def uploads_by_date(chunks: DataFrame, who: Principal, as_of: str, days: int = 3
     return spine.join(counts, "upload_date", "left").select(F.date_format("upload_date", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("uploads"))
 
 
+def upload_days(chunks: DataFrame, stored: DataFrame, who: Principal, today: str | None = None) -> DataFrame:
+    """(file_id, day as yyyyMMdd): eight digits in the id of the file's first row, else its upload date, else when the stored file was last written, else ``today`` (NULL where that is not given)."""
+    c = once_each(chunks.where(can_see(who) & (F.col("file_id") != "")), "file_id", "upload_date", "section_number")
+    head = F.struct(F.coalesce("section_number", F.lit(2**31 - 1)).alias("s"), F.col("doc_id").alias("d"))
+    f = c.groupBy("file_id").agg(F.min_by("doc_id", head).alias("id"), F.min("upload_date").alias("upload_date"))
+    written = stored.select(F.substring_index("path", "/", -1).alias("file_id"), "modificationtime").groupBy("file_id").agg(F.max("modificationtime").alias("at"))
+    day = F.coalesce(F.nullif(F.regexp_extract("id", r"\d{8}", 0), F.lit("")), F.date_format("upload_date", "yyyyMMdd"), F.date_format("at", "yyyyMMdd"), F.lit(today).cast("string"))
+    return f.join(written, "file_id", "left").select("file_id", day.alias("day"))
+
+
+RESTRICTED = "Storage statistics are only available for administrators"
+
+
+def storage_for(stored: DataFrame, who: Principal) -> DataFrame:
+    """``storage`` with access_level and message: to an administrator the figures, to anyone else one row that says why there are none."""
+    if who.level == "admin":
+        return storage(stored).withColumn("access_level", F.lit("admin")).withColumn("message", F.lit(None).cast("string"))
+    return storage(stored.where("false")).where("false").unionByName(stored.sparkSession.range(1).select(F.lit("restricted").alias("access_level"), F.lit(RESTRICTED).alias("message")), allowMissingColumns=True)
+
+
 def storage(stored: DataFrame) -> DataFrame:
     """Files, bytes and megabytes by extension, and of all (extension NULL). Repeated rows count once."""
     f = stored.select("path", "length").distinct().select(extension(F.col("path")).alias("extension"), F.coalesce("length", F.lit(0)).alias("length"))
