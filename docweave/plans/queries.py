@@ -125,7 +125,13 @@ def answer_prompt(spark, d):
     return search.prompt(search.search(chunks(spark, d), VECTOR, DEPARTMENT), "점검 주기는?")
 
 
-@query("answer_stream")
+@query(
+    "answer_stream",
+    rf"""WITH f AS ({_found(SEES_SITE)}), x AS (SELECT string_agg(content, chr(10) || chr(10) ORDER BY score DESC, doc_id) AS context FROM f),
+    p AS (SELECT '<|im_start|>system' || chr(10) || '다음 문서를 근거로 질문에 답하십시오.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || context || chr(10) || chr(10) || '점검 주기는?<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM x),
+    w AS (SELECT list_filter(regexp_split_to_array(prompt, '{BLANK}+'), lambda t: t <> '') AS w FROM p), o AS (SELECT unnest(w) AS word, unnest(range(0, len(w)))::INT AS seq FROM w)
+    SELECT seq, 'data: ' || json_object('content', word)::VARCHAR || chr(10) || chr(10) AS frame FROM o UNION ALL SELECT 2147483647, 'data: [DONE]' || chr(10) || chr(10)""",
+)
 def answer_stream(spark, d):
     """Frames of a stand-in generator that repeats the prompt's words."""
     return search.answer(search.search(chunks(spark, d), VECTOR, SITE), "점검 주기는?", lambda p: p.split())
@@ -308,11 +314,17 @@ def usable_vectors(spark, d):
     return search.scored(chunks(spark, d).select("doc_id", "embedding"), VECTOR).select("doc_id").distinct()
 
 
-@query("embedded_sections")
+@query(
+    "embedded_sections",
+    rf"""WITH {PAGES} SELECT sha256(file_id || chr(31) || page_num) AS doc_id, file_id, file_id AS original_filename, '' AS section_title, page_num::VARCHAR AS section_id, page_num AS section_number, page_num AS page_number,
+    '문서: ' || file_id || chr(10) || '<h2></h2>' || chr(10) || text AS content, 64 AS vector_size, true AS unit FROM p WHERE regexp_matches(text, '[^\s\x0b\x{{85}}\p{{Z}}]')""",
+)
 def embedded_sections(spark, d):
+    """Every page as a section ready to be stored; of its vector the length and whether it has norm 1."""
     p = file_pages(spark, d)
     s = p.select("file_id", F.col("file_id").alias("original_filename"), F.col("page_num").alias("seq"), F.lit("").alias("title"), F.lit(None).cast("string").alias("section_id"), F.col("text").alias("content"), F.lit(None).cast("int").alias("page_number"), F.col("page_num").alias("start_page"))
-    return chunk.section_records(s)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return chunk.section_records(s).withColumns({"vector_size": F.size("embedding"), "unit": F.abs(norm - 1) < 1e-5}).drop("embedding")
 
 
 @query("repeated_first_lines", "WITH l AS (SELECT source, string_split(text, chr(10))[1] AS line FROM documents WHERE source IS NOT NULL), n AS (SELECT source, count(*) AS docs FROM l GROUP BY source) SELECT source, line, count(*) AS n FROM l JOIN n USING (source) WHERE trim(line) <> '' GROUP BY source, line, docs HAVING count(*) >= 2 AND count(*) / docs >= 0.01")
@@ -323,7 +335,18 @@ def repeated_first_lines(spark, d):
     return c.join(n, "source").where((F.col("n") >= 2) & (F.col("n") / F.col("docs") >= 0.01)).select("source", "line", "n")
 
 
-@query("similar_names")
+# The engine's distance counts bytes, so the characters of a pair become single bytes first: its n-th different character the n-th code.
+CODES = "".join(chr(i) for i in range(1, 128) if chr(i) != "'")
+
+
+@query(
+    "similar_names",
+    f"""WITH c AS (SELECT DISTINCT file_id, original_filename AS name, coalesce({strip('sosok')}, '') AS o, {strip('site')} AS p, lower({strip('original_filename')}) AS plain FROM chunks WHERE site IS NOT NULL AND original_filename IS NOT NULL),
+    j AS (SELECT a.file_id AS before_id, a.name AS before, b.file_id, b.name AS original_filename, a.plain AS x, b.plain AS y, array_to_string(list_distinct(string_split(a.plain || b.plain, '')), '') AS chars, greatest(length(a.plain), length(b.plain)) AS n
+        FROM c a JOIN c b ON a.o = b.o AND a.p = b.p AND ROW(a.name, a.file_id) < ROW(b.name, b.file_id) WHERE abs(length(a.plain) - length(b.plain)) <= 0.15 * greatest(length(a.plain), length(b.plain))),
+    s AS (SELECT *, CASE WHEN x = y THEN 1.0 WHEN x = '' OR y = '' THEN 0.0 ELSE 1 - levenshtein(translate(x, chars, '{CODES}'), translate(y, chars, '{CODES}')) / n END AS similarity FROM j)
+    SELECT before_id, before, file_id, original_filename, similarity::DOUBLE AS similarity FROM s WHERE similarity > 0.85""",
+)
 def similar_names(spark, d):
     """Every two files of a site that are named nearly alike; before is the earlier name of the two."""
     c = chunks(spark, d).where("site IS NOT NULL")
@@ -375,14 +398,19 @@ def stream_latest_status(spark, d):
 
 @query("stream_uploads_per_day", "SELECT ts::DATE AS day, count(*) AS uploads FROM tasks WHERE status = 'uploading' GROUP BY 1")
 def stream_uploads_per_day(spark, d):
-    """Day counts in event time. The lateness allowed here spans the table, so that nothing is dropped whatever the files' order; update mode leaves a day's last count."""
-    out = streaming.run_to_table(streaming.uploads_per_day(streaming.parquet_stream(spark, d, "tasks"), "3650 days"), "update")
+    """Day counts in event time, days closing two days after; update mode leaves a day's last count."""
+    out = streaming.run_to_table(streaming.uploads_per_day(streaming.parquet_stream(spark, d, "tasks")), "update")
     return out.groupBy("day").agg(F.max_by("uploads", "batch_id").alias("uploads"))
 
 
-@query("stream_status_changes")
+@query(
+    "stream_status_changes",
+    """WITH e AS (SELECT concat_ws('_', trim(sosok), trim(site)) AS channel, task_id, ts, max(status) AS status FROM tasks WHERE site IS NOT NULL GROUP BY 1, 2, 3),
+    l AS (SELECT *, lag(status) OVER (PARTITION BY channel, task_id ORDER BY ts) AS before FROM e)
+    SELECT channel, task_id, status, epoch_us(ts) AS at_us, status IN ('uploading', 'queued', 'processing') AS active FROM l WHERE before IS DISTINCT FROM status""",
+)
 def stream_status_changes(spark, d):
-    return streaming.run_to_table(streaming.status_changes(streaming.parquet_stream(spark, d, "tasks"))).drop("batch_id")
+    return streaming.run_to_table(streaming.status_changes(streaming.parquet_stream(spark, d, "tasks"))).select("channel", "task_id", "status", F.unix_micros("ts").alias("at_us"), "active")
 
 
 @query("deleted_by_name", f"WITH {ONCE}, n AS (SELECT min({strip('original_filename')}) AS name FROM c WHERE {SEES_DEPARTMENT}) SELECT sosok, count(*) AS n FROM c WHERE NOT coalesce({strip('original_filename')} = (SELECT name FROM n) AND {SEES_DEPARTMENT}, false) GROUP BY sosok")
@@ -424,7 +452,12 @@ def page_margins(spark, d):
     return layout.margins(edges, lines.groupBy("file_id", "page_num").agg(F.max("bottom").alias("page_height")))
 
 
-@query("line_blocks")
+@query(
+    "line_blocks",
+    rf"""WITH {PAGES}, l AS (SELECT file_id, page_num, i AS line_no, list[i] AS text, (i - 1) * 14.0 AS top FROM (SELECT *, unnest(range(1, len(list) + 1)) AS i FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS list FROM p WHERE text IS NOT NULL)) WHERE trim(list[i]) <> ''),
+    g AS (SELECT *, top - (lag(top) OVER (PARTITION BY file_id, page_num ORDER BY top) + 10) AS gap FROM l), b AS (SELECT *, 1 + count(*) FILTER (gap >= 14) OVER (PARTITION BY file_id, page_num ORDER BY top ROWS UNBOUNDED PRECEDING) AS block_no FROM g)
+    SELECT file_id, page_num, block_no, string_agg(text, chr(10) ORDER BY top) AS text, min(top) AS top, max(top) + 10 AS bottom, coalesce(arg_min(gap, top), 0) > 30 AS apart FROM b GROUP BY file_id, page_num, block_no""",
+)
 def line_blocks(spark, d):
     """Blocks of the documents' pages, where an empty line leaves a gap."""
     return layout.block_gaps(content_lines(spark, d).where(F.trim("text") != ""), block=14.0, apart=30.0)

@@ -91,6 +91,55 @@ def test_search(spark, chunks):
     assert "division" in failed[0].frame
 
 
+def test_an_answer_is_sent_part_by_part(spark, chunks):
+    def halting(p):
+        yield "first"
+        raise ValueError("stopped")
+
+    frames = [r.frame for r in search.answer(search.search(chunks, [1.0, 0.0], Principal()), "q", halting).orderBy("seq").collect()]
+    assert "first" in frames[0] and "stopped" in frames[1] and len(frames) == 3
+
+
+def test_best_of_partitions_is_best_of_all(spark):
+    rng = random.Random(3)
+    rows = [(f"d{i % 60}", [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id string, embedding array<double>").repartition(7)
+    whole = search.best_of(search.scored(d, [1.0, 0.5]), 9).collect()
+    assert search.best_of(search.scored(d, [1.0, 0.5], top=9), 9).collect() == whole
+    assert search.scored(d, [1.0, 0.5], top=9).count() <= 63
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from docweave import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster())
+
+
+def test_days_and_storage(spark, chunks):
+    f = spark.createDataFrame([("uploads/f", dt.datetime(2024, 5, 6)), ("uploads/g", None)], "path string, modificationtime timestamp")
+    c = chunks.withColumn("doc_id", F.when(F.col("file_id") == "h", F.concat(F.lit("20240102_"), "doc_id")).otherwise(F.col("doc_id")))
+    assert {r.file_id: r.day for r in stats.upload_days(c, f, Principal(), "20250101").collect()} == {"f": "20240506", "g": "20250101", "h": "20240102"}
+    assert stats.storage_for(spark.createDataFrame([("u/a.pdf", 10)], "path string, length long"), Principal("A")).collect()[0].access_level == "restricted"
+
+
+def test_windows_of_given_tokens(spark):
+    d = spark.createDataFrame([("f", 1, "가나다라"), ("f", 2, None), ("f", 3, "마바")], "file_id string, page_num int, text string")
+    got = chunk.token_windows(d, 4, 1, tokenizer=list, joiner="").orderBy("seq").collect()
+    assert [(r.content, r.start_page) for r in got] == [("가나다라", 1), ("라마바", 1)]
+
+
 def test_both_cosines_agree(spark):
     rng = random.Random(1)
     d = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(50)] + [(50, None), (51, []), (52, [0.0] * 8), (53, [1.0]), (54, [math.inf] + [0.0] * 7)], "i int, embedding array<float>")

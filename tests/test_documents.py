@@ -8,6 +8,7 @@ import pytest
 
 from docweave import streaming
 from docweave.operators import layout, sections, tables
+from docweave.operators.access import Principal
 from docweave.sources import chunkstore, office
 
 
@@ -40,7 +41,8 @@ def test_repeated_edges_and_margins(spark):
     assert m.bottom == pytest.approx(0.2)
 
 
-def test_alike():
+def test_repeated_edges_fold_as_one_by_one(spark):
+    """The greedy groups of a fold over all pages' lines, from the definition."""
     from functools import lru_cache
 
     @lru_cache(None)
@@ -49,14 +51,31 @@ def test_alike():
 
     rng = random.Random(2)
     for _ in range(300):
-        a, b = ("".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(2))
-        want = 1 - distance(a, b) / max(len(a), len(b))
-        assert layout.alike(a, b) == pytest.approx(want)
-        assert (layout.alike(a, b, 0.6) > 0.6) == (want > 0.6 + 1e-12)
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 7))) for _ in range(2))
+        want = 1 - distance(a, b) / max(len(a), len(b), 1) if a and b else float(a == b)
+        assert layout.alike(a, b) == pytest.approx(want) and (layout.alike(a, b, 0.6) > 0.6) == (want > 0.6 + 1e-12)
+    texts = ["".join(rng.choices("ab", k=2)) + "CDEFGHIJ" + str(rng.randrange(3)) for _ in range(30)] + ["", " x "]
+    rows = [("f", p, 1, t, 0.0, 8.0) for p, t in enumerate(texts, 1)]
+    lines = spark.createDataFrame(rows, "file_id string, page_num int, line_no int, text string, top double, bottom double")
+    firsts, groups = [], {}
+    for t in (t.strip() for t in texts if t.strip()):
+        a = t.lower()
+        head = next((f for f in firsts if a == f.lower() or 1 - distance(a, f.lower()) / max(len(a), len(f)) > layout.SIMILAR), None)
+        if head is None:
+            firsts.append(head := t)
+        groups[head] = groups.get(head, 0) + 1
+    got = layout.repeated_edges(lines, spark.createDataFrame([("f", 10)], "file_id string, n_pages int")).where("edge = 'top'").first()
+    best = max(groups.values())
+    assert got.pages == best and groups[got.text] == best and sorted(x.page_num for x in got["at"]) == sorted(set(x.page_num for x in got["at"]))
 
 
 def test_marks():
-    assert [tables.mark_of(x) for x in ("1) x", "TP 1", "가) x", "plain", "i) x", "- x", "-x", ">> x", "제1조", "(가) y", "", "(note) z", "TP 1 설명")] == ["N)", "ALPHA_NUM", "가)", None, "a)", "-", None, ">", "제N", "(가)", None, "()", "ALPHA_NUM_PREFIX"]
+    assert [tables.mark_of(x) for x in ("1) x", "TP 1", "가) x", "plain", "i) x", "- x", "-x", ">> x", "제1조", "(가) y", "", "(note) z", "TP 1 설명")] == ["number )", "capitals and number", "syllable )", None, "small letter )", "-", None, ">", "number after 제", "syllable ()", None, "()", "capitals and number first"]
+    same = (("1)", "22) x"), ("(3) a", "(44)b"), ("ii) x", "xiv) y"), ("(ii) x", "(vi)"), ("10번 가", "2번"), ("ch3 x", "tp 12 y"), ("Ch 3", "tP4"), ("채널 1", "회선2"), ("[가]", "[나] x"), ("[ab] x", "[note]"), ("ㄱ. x", "ㄴ."), ("3 x", "12 y"), ("3: x", "4:"), ("①", "①x"))
+    assert all(tables.mark_of(a) == tables.mark_of(b) != None for a, b in same)  # noqa: E711
+    other = [tables.mark_of(x) for x in ("1)", "1.", "1-", "(1)", "[1]", "1 x", "1:", "1번", "제1조", "가)", "가.", "(가)", "[가]", "ㄱ)", "ㄱ.", "a)", "A)", "a.", "A.", "(a)", "(A)", "[a]", "[A]", "ii)", "II)", "ii.", "II.", "(ii)", "(II)", "{x}", "[xyz]", "(xyz)", "《x》", "①", "②", "TP1", "tp1", "Tp1", "채널1", "TP1 x", "tp1 x", "채널1 x")]
+    assert None not in other and len(set(other)) == len(other)
+    assert [tables.mark_of(x) for x in ("Tp1 x", "word", "()", "[]x", "ㄱ x", "word) x", "가나) x", "3개")] == [None] * 8
     assert [tables.is_number(x) for x in ("1,000원", "-", "≤5", "abc", "12 MHz")] == [True, False, True, False, True]
 
 
@@ -145,6 +164,20 @@ def test_chunk_store(spark, tmp_path):
     assert [r.tags for r in s.read().collect()] == ["p, q", "p, q"] and s.info().first().points == 2
     s.replace(s.read().limit(1))
     assert s.read().count() == 1 and s.exists()
+    v, one = s.version(), s.read()
+    s.append(rows)
+    with pytest.raises(chunkstore.Conflict):  # the append would be lost
+        s.replace(one, v)
+    assert s.read().count() == 2
+    s.retag("f", "z", Principal())
+    assert {r.tags for r in s.read().collect()} == {"z"}
+    s.delete(Principal(), ids=spark.createDataFrame([("b",)], "doc_id string"))
+    assert s.read().count() == 2
+    s.delete(Principal(), file_id="f")
+    assert s.read().count() == 0 and s.info().first().points == 0
+    assert not s._commit(s.version(), [])  # a number is taken once
+    s.create(recreate=True)
+    assert s.read().count() == 0
     g = chunkstore.gpu_metrics(spark.createDataFrame([("0, X, 50, [N/A], 100, 200, 1.5, 2, 3",)], "value string")).first()
     assert (g.utilization, g.memory_percent, g.name) == (None, 50.0, "X")
 
@@ -168,6 +201,71 @@ def test_streams_leave_what_a_batch_gives(spark, task_dir):
     assert {c.task_id for c in changes} == {"t1", "t2"} and ("t1", "completed") in {(c.task_id, c.status) for c in changes}
 
 
+def events(spark, rows):
+    return spark.createDataFrame(rows, "task_id string, sosok string, site string, status string, ts string").selectExpr("task_id", "sosok", "site", "status", "to_timestamp(ts) AS ts")
+
+
+def written_in_turn(spark, path, *parts):
+    """A table of one file a part, read in this order."""
+    import os
+
+    for i, rows in enumerate(parts):
+        events(spark, rows).coalesce(1).write.mode("append").parquet(f"{path}/tasks.parquet")
+        for f in (path / "tasks.parquet").glob("part-*.parquet"):
+            if not f.name.startswith("part-9"):
+                os.utime(f.rename(f.with_name(f"part-9{i}.parquet")), (i + 1, i + 1))
+    return streaming.parquet_stream(spark, str(path), "tasks")
+
+
+def test_changes_over_several_files(spark, tmp_path):
+    day = "2024-01-{:02} 00:00:00".format
+    stream = written_in_turn(
+        spark, tmp_path,
+        [("t1", "A", "s", "uploading", day(1)), ("t1", "A", "s", "processing", day(3))],
+        [("t1", "A", "s", "queued", day(2)), ("t1", "A", "s", "completed", day(4)), ("t2", "A", "s", "uploading", day(20))],  # queued comes after what followed it
+        [("t2", "A", "s", "completed", day(21))],
+        [("t1", "A", "s", "failed", day(3)), ("t2", "A", "s", "completed", day(22)), ("t3", "A", "s", "queued", day(1))],  # the first and the last are later than the watermark of the batch before
+    )
+    got = sorted((r.task_id, r.status, r.active) for r in streaming.run_to_table(streaming.status_changes(stream, "7 days")).collect())
+    assert got == [("t1", "completed", False), ("t1", "processing", True), ("t1", "uploading", True), ("t2", "completed", False), ("t2", "uploading", True)]
+
+
+def test_days_close_with_the_watermark(spark, tmp_path):
+    day = "2024-01-{:02} 06:00:00".format
+    up = [("t", "A", "s", "uploading")]
+    stream = written_in_turn(spark, tmp_path, [(*x, day(1)) for x in up * 2] + [(*up[0], day(2))], [(*up[0], day(2)), (*up[0], day(9))], [(*up[0], day(9))], [(*up[0], day(8)), (*up[0], day(1)), (*up[0], day(20))])
+    out = streaming.run_to_table(streaming.uploads_per_day(stream, "2 days"))  # append: a day comes once, when it is closed
+    assert {str(r.day)[-2:]: r.uploads for r in out.collect()} == {"01": 2, "02": 2, "08": 1, "09": 2}  # what came for the first day after its end is left out
+
+
+def test_changes_are_pushed_by_channel(spark, tmp_path):
+    import json
+
+    stream = written_in_turn(spark, tmp_path / "in", [("t1", "A", "s", "uploading", "2024-01-01 00:00:00"), ("t1", "A", "s", "completed", "2024-01-01 00:01:00"), ("t2", "B", "s", "failed", "2024-01-01 00:00:00")])
+    out = str(tmp_path)
+
+    def send(channel, frames):
+        with open(f"{out}/{channel}", "a") as f:
+            f.writelines(x + "\n" for x in frames)
+
+    streaming.pushed(streaming.status_changes(stream), send, f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [json.loads(x)["status"] for x in open(f"{out}/A_s")] == ["uploading", "completed"] and json.loads(open(f"{out}/B_s").read())["active"] is False
+
+
+def test_replies_to_commands(spark):
+    t = events(spark, [("t1", "A", "s", "completed", "2024-01-01 00:00:00"), ("t2", "A", "s", "queued", "2024-01-02 00:00:00"), ("t3", "A", "s", "failed", "2024-01-03 00:00:00"), ("t4", "B", "s", "failed", "2024-01-03 00:00:00")])
+    kinds = [("ping", None), ("refresh", None), ("dismiss_task", "t2"), ("heartbeat", None), ("dismiss_all_completed", None), ("refresh", None), ("what", None)]
+    c = spark.createDataFrame([("A_s", i, k, x) for i, (k, x) in enumerate(kinds)] + [("C_s", 0, "refresh", None)], "channel string, seq int, type string, task_id string")
+    got = {(r.channel, r.seq): (r.reply, r.tasks and [x.task_id for x in r.tasks]) for r in streaming.channel_replies(t, c).collect()}
+    assert got == {("A_s", 0): ("pong", None), ("A_s", 1): ("task_update", ["t3", "t2", "t1"]), ("A_s", 2): ("task_update", ["t3", "t1"]), ("A_s", 3): ("ping", None), ("A_s", 4): ("task_update", []), ("A_s", 5): ("task_update", []), ("C_s", 0): ("task_update", [])}
+
+
+def test_headings_begin_their_lines():
+    text = "1.1.1 First thing\nbody refers to 1.1.2 Second of them\n  1.1.2 Radio Aids\nmore\n1.1.3 Third\n"
+    assert [s["section_id"] for s in sections.split_outline(text)] == ["1.1.1", "1.1.2", "1.1.3"]
+    assert [s["section_id"] for s in sections.split_outline(text, not_headings=("Radio Aids",))] == ["1.1.1"]
+
+
 def test_model_stream(spark):
     lines = ['data: {"choices":[{"delta":{"content":"he"}}]}', "data: broken", 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"name":"f","arguments":"{\\"a\\""}}]}}]}', 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":": 1}"}}]}}]}', "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}']
     p = streaming.sse_parts(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "stream_id string, seq int, line string"))
