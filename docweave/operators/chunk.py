@@ -45,6 +45,11 @@ def token_windows(pages: DataFrame, window: int = WINDOW, overlap: int = OVERLAP
     return f.select("file_id", (F.col("i") + 1).alias("seq"), "start_token", page.alias("start_page"), F.size(piece).alias("n_tokens"), F.array_join(piece, joiner).alias("content"))
 
 
+def page_chunks(pages: DataFrame) -> DataFrame:
+    """(file_id, seq, start_page, content): every page with text is a chunk, numbered by its page."""
+    return pages.where(F.length(strip_blanks(F.col("text"))) > 0).select("file_id", F.col("page_num").alias("seq"), F.col("page_num").alias("start_page"), F.col("text").alias("content"))
+
+
 def section_records(sections: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Chunk rows of sections (file_id, original_filename, seq, title, section_id, content, page_number, start_page, …): empty sections are left
     out but numbered, the content gets its header, ids are hashes, and vectors come from ``embed`` a batch at a time."""

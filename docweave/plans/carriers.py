@@ -11,8 +11,8 @@ from docweave import streaming
 from docweave.functions.text import normalized
 from docweave.operators import catalog, chunk, layout, stats, tables
 from docweave.operators.access import Principal
-from docweave.plans.queries import ANYONE, BLANK, CODES, DEPARTMENT, ONCE, PAGES, SEES_DEPARTMENT, SQL, chunks, content_lines, query, strip
-from docweave.session import shared_dir, strip_blanks, table
+from docweave.plans.queries import ANYONE, BLANK, CODES, DEPARTMENT, ONCE, PAGES, SEES_DEPARTMENT, SQL, chunks, content_lines, file_pages, query, strip
+from docweave.session import scratch_dir, strip_blanks, table
 from docweave.sources import chunkstore
 
 # Titles as characters 7 points wide, with 3 points more before every fifth; of three successive ones the tops are 0, 3 and 6 points down.
@@ -64,11 +64,11 @@ def edges_sql() -> str:
 
     return f"""{LINES}, t AS (SELECT file_id, page_num, line_no, trim(text) AS text, top FROM l WHERE trim(text) <> ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY file_id, page_num ORDER BY line_no) AS a, row_number() OVER (PARTITION BY file_id, page_num ORDER BY line_no DESC) AS b FROM t),
-    e AS (SELECT file_id, page_num, 'top' AS edge, a AS place, text, top FROM r WHERE a <= 3 UNION ALL SELECT file_id, page_num, 'bottom', b, text, top FROM r WHERE b <= 3),
+    e AS MATERIALIZED (SELECT file_id, page_num, 'top' AS edge, a AS place, text, top FROM r WHERE a <= 3 UNION ALL SELECT file_id, page_num, 'bottom', b, text, top FROM r WHERE b <= 3),
     d AS (SELECT file_id, edge, place, text, min(page_num) AS first FROM e GROUP BY file_id, edge, place, text),
     g AS (SELECT file_id, edge, place, list({{'t': text, 'n': lower({strip('text')})}} ORDER BY first, text) AS texts FROM d GROUP BY file_id, edge, place),
-    h AS (SELECT *, list_reduce(list_transform(texts, lambda v: [v]), lambda s, v: CASE WHEN len(list_filter(s, lambda x: {match('x', 'v[1]')})) > 0 THEN s ELSE list_concat(s, v) END) AS heads FROM g),
-    f AS (SELECT file_id, edge, place, y.t AS text, list_filter(heads, lambda x: {match('x', 'y')})[1].t AS head FROM (SELECT *, unnest(texts) AS y FROM h)),
+    h AS MATERIALIZED (SELECT *, list_reduce(list_transform(texts, lambda v: [v]), lambda s, v: CASE WHEN len(list_filter(s, lambda x: {match('x', 'v[1]')})) > 0 THEN s ELSE list_concat(s, v) END) AS heads FROM g),
+    f AS MATERIALIZED (SELECT file_id, edge, place, y.t AS text, list_filter(heads, lambda x: {match('x', 'y')})[1].t AS head FROM (SELECT *, unnest(texts) AS y FROM h)),
     k AS (SELECT file_id, edge, place, head AS text, count(*) AS pages, stddev_pop(top + 5) AS sd FROM e JOIN f USING (file_id, edge, place, text) GROUP BY file_id, edge, place, head),
     n AS (SELECT file_id, count(DISTINCT page_num) AS n FROM l GROUP BY file_id), z AS (SELECT *, pages / n AS share, pages / n / (1 + sd) AS score FROM k JOIN n USING (file_id) WHERE pages / n >= 0.4),
     best AS (SELECT file_id, edge, place, text, pages, share, score FROM (SELECT *, row_number() OVER (PARTITION BY file_id, edge ORDER BY score DESC, place, text) AS q FROM z) WHERE q = 1)"""
@@ -148,7 +148,7 @@ def record_tables(spark, d):
 def store_changes(spark, d):
     """The chunk table created, filled by two appends, a file's tags changed, another file deleted by id, rows deleted by doc_id; then what is in it."""
     c = table(spark, d, "chunks").dropDuplicates(["doc_id"])
-    store = chunkstore.ChunkStore(spark, f"{shared_dir(spark)}/docweave/store-{uuid.uuid4().hex}")
+    store = chunkstore.ChunkStore(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
     store.create()
     first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     store.append(c.where(first))
@@ -170,6 +170,11 @@ def upload_days(spark, d):
     return stats.upload_days(chunks(spark, d), table(spark, d, "files"), ANYONE, "20250101")
 
 
+@query("page_chunks", f"WITH {PAGES} SELECT file_id, page_num AS seq, page_num AS start_page, text AS content FROM p WHERE {strip('text')} <> ''")
+def page_chunks(spark, d):
+    return chunk.page_chunks(file_pages(spark, d))
+
+
 @query("storage_restricted", f"SELECT NULL::VARCHAR AS extension, NULL::BIGINT AS files, NULL::BIGINT AS bytes, NULL::DOUBLE AS mb, NULL::DOUBLE AS average, 'restricted' AS access_level, '{stats.RESTRICTED}' AS message")
 def storage_restricted(spark, d):
     return stats.storage_for(table(spark, d, "files"), DEPARTMENT)

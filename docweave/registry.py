@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.plans import carriers  # noqa: F401  (registers its queries)
+from docweave.plans import carriers, packages  # noqa: F401  (they register their queries)
 from docweave.plans import queries as core
 
 

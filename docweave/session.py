@@ -42,17 +42,36 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+_marked: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    where = f"{shared_dir(spark)}/docweave/{spark.sparkContext.applicationId}"
+    if where not in _marked:
+        fs, path = _path(spark, where)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(where)
+    return where
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, columns stay prunable, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/docweave/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_shared(spark: SparkSession) -> None:
-    """Delete what ``materialize`` has written, once no result that reads it is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docweave")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what ``materialize`` has written in this application, once no result that reads it is needed any more."""
+    fs, path = _path(spark, scratch_dir(spark))
+    fs.delete(path, True)
 
 
 def schema_with(df: DataFrame, kept: list[str], name: str, kind: str):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docweave.session import shared_dir, ship
+from docweave.session import scratch_dir, ship
 
 ACTIVE = ("uploading", "queued", "processing")
 
@@ -27,7 +27,7 @@ def parquet_stream(spark: SparkSession, sf_dir: str, table: str, files_at_once:
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read back what it wrote, from the shared folder. In update mode a later batch's rows come beside earlier ones, told apart by batch_id."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/docweave/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch_id", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")  # a batch that runs again replaces itself
@@ -133,8 +133,15 @@ def uploads_per_day(tasks: DataFrame, lateness: str = "2 days") -> DataFrame:
     return u.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("uploads")).select(F.to_date("window.start").alias("day"), "uploads")
 
 
-def incremental_ingest(stored: DataFrame, parse: Callable[[DataFrame], DataFrame], append: Callable[[DataFrame], None], report: Callable[[DataFrame], None]):
-    """A batch function for foreachBatch: files are parsed, good rows appended, and every file reported as done or failed; a bad file fails alone."""
+def landed_files(spark: SparkSession, path: str, archive: str | None = None, files_at_once: int = 1000) -> DataFrame:
+    """The files that come into a folder as a stream of (file_id, path, length, modificationTime, content); with ``archive`` a file is moved there once its batch is done."""
+    r = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_at_once)
+    r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive) if archive else r
+    return r.load(path).select(F.substring_index("path", "/", -1).alias("file_id"), "path", "length", "modificationTime", "content")
+
+
+def ingest_batch(parse: Callable[[DataFrame], DataFrame], append: Callable[[DataFrame], None], report: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function: files are parsed, good rows appended, and every file reported as done or failed; a bad file fails alone."""
 
     def each(batch: DataFrame, _: int) -> None:
         rows = parse(batch).persist()
@@ -142,7 +149,12 @@ def incremental_ingest(stored: DataFrame, parse: Callable[[DataFrame], DataFrame
         report(rows.groupBy("file_id").agg(F.max("error").alias("message"), F.count(F.when(F.col("error").isNull(), 1)).alias("rows")).withColumn("status", F.when(F.col("message").isNull() & (F.col("rows") > 0), "success").otherwise("failed")))
         rows.unpersist()
 
-    return stored.writeStream.foreachBatch(each)
+    return each
+
+
+def incremental_ingest(stored: DataFrame, parse: Callable[[DataFrame], DataFrame], append: Callable[[DataFrame], None], report: Callable[[DataFrame], None]):
+    """A stream of files through ``ingest_batch``."""
+    return stored.writeStream.foreachBatch(ingest_batch(parse, append, report))
 
 
 def sse_parts(lines: DataFrame) -> DataFrame:

@@ -201,8 +201,8 @@ def test_text_functions(spark):
 def test_materialized_tables_can_be_cleared(spark):
     from pathlib import Path
 
-    from docweave.session import clear_shared, materialize, shared_dir
+    from docweave.session import clear_shared, materialize, scratch_dir
 
-    assert materialize(spark.range(3)).count() == 3
+    assert materialize(spark.range(3)).count() == 3 and spark.sparkContext.applicationId in scratch_dir(spark)
     clear_shared(spark)
-    assert not Path(shared_dir(spark).removeprefix("file://"), "docweave").exists()
+    assert not Path(scratch_dir(spark).removeprefix("file://")).exists() and materialize(spark.range(2)).count() == 2

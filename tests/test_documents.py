@@ -277,7 +277,7 @@ def test_incremental_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "bad.docx").write_bytes(b"bad")
     (tmp_path / "in" / "ok.docx").write_bytes(package({"word/document.xml": '<d xmlns="w"><p><t>hi</t></p></d>'}))
-    s = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(f"file://{tmp_path}/in").selectExpr("substring_index(path, '/', -1) AS file_id", "content")
+    s = streaming.landed_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/done").select("file_id", "content")
     good, reports = [], []
     q = streaming.incremental_ingest(s, office.paragraphs, lambda d: good.extend(d.collect()), lambda d: reports.extend(d.collect()))
     q.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
