@@ -64,7 +64,7 @@ def split_oversized(df: DataFrame, column: str, limit: int = 700, overlap: int =
     d = df.where(may_exceed) if only_oversized else df
     d = d.select(*rest, text.alias("_text"), F.when(may_exceed, units(text, unit, longest)).otherwise(F.array(text)).alias("_units"))
     if only_oversized:
-        words = F.size("_units") if unit == "char" else F.size(F.filter("_units", lambda u: u.rlike(r"(?U)\S") & ~(F.length(u) >= longest) | u.rlike(r"(?U)\s$")))
+        words = F.size("_units") if unit == "char" else F.size(F.filter("_units", lambda u, i: u.rlike(r"(?U)\s$") | (i + 1 == F.size("_units"))))  # the others go on
         d = d.where((F.size("_units") > limit) & (words > limit))
     skeleton = F.array_join(F.transform("_units", lambda u, i: strength(u, F.coalesce(F.get("_units", i + 1), F.lit("")), unit)), "")
     cut = F.transform(F.regexp_extract_all(skeleton, F.lit(segment_pattern(limit, overlap)), F.lit(0)), F.length)

@@ -40,4 +40,6 @@ def test_a_text_without_blanks_falls_back_to_characters(spark, unit):
     words = "w " * 8 + "y" * 5_000
     few = spark.createDataFrame([(words,)], "t string")
     assert split.split_oversized(few, "t", 10, 3, longest=1_000, only_oversized=True).count() == 0
+    full = spark.createDataFrame([("w " * 10 + "y" * 2_000,)], "t string")  # eleven words, the last as long as two units
+    assert split.split_oversized(full, "t", 10, 3, longest=1_000, only_oversized=True).count() > 1
     assert split.split_oversized(few, "t", 10, 3, longest=1_000).select(F.max("piece_no")).first()[0] == 2
