@@ -3,7 +3,7 @@
 A pair of similarity (1 - edit distance / length of the longer) above the threshold is at most ``most_edits`` edits apart, a number that follows from the longer text alone.
 The longer text is cut into one disjoint segment more than that; an edit spoils at most one of them, so one stands unchanged in the shorter text,
 moved by no more places than there are edits. Any such cut is without loss. So that segments are rare, their ends follow the information of the characters
-(a model of character pairs, fitted on a sample): a segment is the shortest run from its first character on that holds so many bits, and the bits are the
+(a model of character pairs, fitted on some ``SAMPLE`` texts drawn by hash; it sets how much work there is, not what is found): a segment is the shortest run from its first character on that holds so many bits, and the bits are the
 most of ``BITS`` at which the text has enough segments. What the run is depends on nothing around it, so the shorter text offers one run a place and number
 of bits. Candidates are verified by the texts themselves. Equal texts of a scope are one; nothing is capped.
 """
@@ -137,7 +137,8 @@ def similar_pairs(df: DataFrame, key: str, text: str, by: list, threshold: float
     rows = rows.withColumn("scope", F.xxhash64(F.lit("scope"), *names)).withColumn("plain", F.lower(strip_blanks(F.col("text"))))
     rows = materialize(rows.withColumn("id", F.xxhash64("scope", "plain")), "names")
     texts = spread(rows.select("id", "scope", F.col("plain").alias("text")).dropDuplicates(["id"]))
-    first, after = model([r.text for r in texts.orderBy("id").limit(SAMPLE).select("text").collect()])
+    drawn = F.pmod(F.col("id"), F.lit(2**40)) < F.lit(min(2**40, 2**40 * SAMPLE // max(1, rows.count())))  # ids are hashes: some SAMPLE rows in all, of every task its part
+    first, after = model([r.text for r in texts.where(drawn).select("text").collect()])
     cut = materialize(texts.mapInArrow(_postings(threshold, first, after, None), POSTING), "segments")
     probe = sorted(r.bits for r in cut.select("bits").distinct().collect())
     offered = texts.mapInArrow(_postings(threshold, first, after, probe), POSTING)

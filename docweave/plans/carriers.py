@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave import streaming
+from docweave.functions import maps
 from docweave.functions.text import normalized
 from docweave.operators import catalog, chunk, layout, stats, tables
 from docweave.operators.access import Principal
 from docweave.plans.queries import ANYONE, BLANK, CODES, DEPARTMENT, ONCE, PAGES, SEES_DEPARTMENT, SQL, chunks, content_lines, file_pages, query, strip
 from docweave.session import scratch_dir, strip_blanks, table
-from docweave.sources import chunkstore
+from docweave.sources import chunkstore, office
 
 # Titles as characters 7 points wide, with 3 points more before every fifth; of three successive ones the tops are 0, 3 and 6 points down.
 TITLES = f"{ONCE}, t AS (SELECT doc_id AS file_id, section_title AS s FROM c WHERE section_title IS NOT NULL)"
@@ -276,3 +277,36 @@ def channel_replies(spark, d):
     kinds = ["ping", "refresh", "dismiss_task", "heartbeat", "dismiss_all_completed", "heartbeat", "nonsense"]
     commands = first.select("channel", "one", F.posexplode(F.array(*map(F.lit, kinds))).alias("i", "type")).select("channel", (F.col("i") + 1).alias("seq"), "type", F.when(F.col("type") == "dismiss_task", F.col("one")).alias("task_id"))
     return streaming.channel_replies(tasks, commands).select("channel", "seq", "reply", F.when(F.col("tasks").isNotNull(), F.size("tasks")).alias("left_over"))
+
+
+@query(
+    "merged_fields",
+    f"""WITH {ONCE} SELECT doc_id, CASE WHEN page_number IS NULL THEN 'page=' || coalesce(total_pdf_pages::VARCHAR, '') ELSE 'page=' || page_number END || ';section=' || coalesce(section_id, '') AS fields FROM c""",
+)
+def merged_fields(spark, d):
+    """A file's fields overlaid by the chunk's own, where it has any."""
+    c = catalog.once_each(chunks(spark, d), "page_number", "total_pdf_pages", "section_id")
+    file = F.create_map(F.lit("page"), F.coalesce(F.col("total_pdf_pages").cast("string"), F.lit("")), F.lit("section"), F.lit(""))
+    own = F.map_filter(F.create_map(F.lit("page"), F.col("page_number").cast("string"), F.lit("section"), F.col("section_id")), lambda _, v: v.isNotNull())
+    both = F.sort_array(F.map_entries(maps.merged(file, own)))
+    return c.select("doc_id", F.array_join(F.transform(both, lambda e: F.concat_ws("=", e.key, e.value)), ";").alias("fields"))
+
+
+@query(
+    "status_counts",
+    "WITH c AS (SELECT trim(sosok) AS sosok, status, count(*) AS n FROM tasks WHERE status IS NOT NULL GROUP BY 1, 2) SELECT sosok, string_agg(status || '=' || n, ';' ORDER BY status) AS counts FROM c GROUP BY sosok",
+)
+def status_counts(spark, d):
+    """Of each organisation how often each status comes, as a map."""
+    t = maps.counted(table(spark, d, "tasks").select(F.trim("sosok").alias("sosok"), "status"), ["sosok"], "status")
+    return t.select("sosok", F.array_join(F.transform(F.sort_array(F.map_entries("counts")), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ";").alias("counts"))
+
+
+@query("images_worth_keeping", "SELECT n_nationkey::INT AS idx FROM nation WHERE n_nationkey % 3 = 2")
+def images_worth_keeping(spark, d):
+    """Of three kinds of grey images those that say something: one colour, too small, and two colours in turn."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("idx"))
+    kind = F.col("idx") % 3
+    width = F.when(kind == 1, 5).otherwise(20)
+    data = F.when(kind == 2, F.repeat(F.lit("AB"), F.lit(200))).otherwise(F.repeat(F.lit("A"), width * 20)).cast("binary")
+    return office.worth_keeping(n.select("idx", width.alias("width"), F.lit(20).alias("height"), F.lit(1).alias("channels"), data.alias("data"))).select("idx")

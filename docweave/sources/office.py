@@ -167,4 +167,15 @@ def pixels_say_something(width: int, height: int, channels: int, data: bytes) ->
     return len(np.unique(sample, axis=0)) > 2 and (sample > 250).all(1).mean() <= 0.95
 
 
+def worth_keeping(images: DataFrame) -> DataFrame:
+    """The rows (…, width, height, channels, data) whose raw pixels say something, in Arrow batches; rows without pixels go."""
+
+    def each(batches):
+        for b in batches:
+            pixels = zip(*(b.column(c).to_pylist() for c in ("width", "height", "channels", "data")), strict=True)
+            yield b.filter(pa.array([None not in p and pixels_say_something(*p) for p in pixels], pa.bool_()))
+
+    return images.mapInArrow(each, images.schema)
+
+
 ship(__name__)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.functions import text
+from docweave.functions import maps, text
 from docweave.operators import catalog, chunk, search, stats
 from docweave.operators.access import ADMIN, Principal, can_see
 
@@ -134,6 +134,14 @@ def test_days_and_storage(spark, chunks):
     assert stats.storage_for(spark.createDataFrame([("u/a.pdf", 10)], "path string, length long"), Principal("A")).collect()[0].access_level == "restricted"
 
 
+def test_maps(spark):
+    d = spark.sql("SELECT * FROM VALUES (1, map('a', '1', 'b', '2'), map('b', '3')), (2, NULL, map('x', '1')), (3, map('a', '1'), NULL) AS t(i, a, b)")
+    assert {r.i: r.m for r in d.select("i", maps.merged(F.col("a"), F.col("b")).alias("m")).collect()} == {1: {"a": "1", "b": "3"}, 2: {"x": "1"}, 3: {"a": "1"}}
+    c = spark.createDataFrame([("g", "x"), ("g", "x"), ("g", "y"), ("h", None)], "k string, v string")
+    assert {r.k: r.counts for r in maps.counted(c, ["k"], "v").collect()} == {"g": {"x": 2, "y": 1}}
+    assert maps.counted(c.limit(0), ["k"], "v").count() == 0
+
+
 def test_windows_of_given_tokens(spark):
     d = spark.createDataFrame([("f", 1, "가나다라"), ("f", 2, None), ("f", 3, "마바")], "file_id string, page_num int, text string")
     got = chunk.token_windows(d, 4, 1, tokenizer=list, joiner="").orderBy("seq").collect()
