@@ -26,7 +26,7 @@ def cosine(vector: Column, query: list[float]) -> Column:
 def scored(df: DataFrame, query: list[float], vector: str = "embedding", top: int | None = None) -> DataFrame:
     """df with ``score`` in place of the vector, for the vectors that have one; the same values as ``cosine``, a batch at a time as matrix products.
 
-    With ``top`` a partition gives only the rows of its ``top`` best doc_ids (ties: the smaller), which hold those of all partitions: what is left to sort doesn't grow with the rows."""
+    With ``top`` a partition gives only the rows of its ``top`` best doc_ids (ties: the smaller), which hold those of all partitions: what is left to sort doesn't grow with the rows. Rows without doc_id are left out then."""
     kept = [c for c in df.columns if c != vector]
     schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias("score")).schema
 
@@ -49,7 +49,8 @@ def scored(df: DataFrame, query: list[float], vector: str = "embedding", top: in
             rows, s = rows[good], s[good]
             if top is not None:
                 for i, x in zip(b.column("doc_id").take(pa.array(rows)).to_pylist(), s.tolist(), strict=True):
-                    best[i] = max(x, best.get(i, x))
+                    if i is not None:
+                        best[i] = max(x, best.get(i, x))
                 best = dict(sorted(best.items(), key=lambda r: (-r[1], r[0]))[:top])
                 continue
             yield pa.RecordBatch.from_arrays([*b.select(kept).take(pa.array(rows)).columns, pa.array(s)], [*kept, "score"])

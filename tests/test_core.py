@@ -107,6 +107,8 @@ def test_best_of_partitions_is_best_of_all(spark):
     whole = search.best_of(search.scored(d, [1.0, 0.5]), 9).collect()
     assert search.best_of(search.scored(d, [1.0, 0.5], top=9), 9).collect() == whole
     assert search.scored(d, [1.0, 0.5], top=9).count() <= 63
+    none = d.union(spark.createDataFrame([(None, [1.0, 0.5]), (None, [2.0, 1.0]), ("d0", [2.0, 1.0])], "doc_id string, embedding array<double>"))
+    assert search.best_of(search.scored(none, [1.0, 0.5], top=1), 1).first().doc_id == "d0"
 
 
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
