@@ -25,7 +25,7 @@ import math
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.pack import sized_documents
@@ -179,8 +179,7 @@ def shares(sized: DataFrame, mixed: DataFrame, source: str, size: str, key: str,
     """Of each target what was at hand, what was reached, and how that stands to its goal."""
     got = mixed.groupBy(source).agg(F.sum(size).alias("tokens"), F.count("*").alias("uses"), F.countDistinct(key).alias("records_used"), F.max("copy_no").alias("most_repeats"))
     have = sized.where(F.col(size) > 0).groupBy(source).agg(F.count("*").alias("records_at_hand"), F.sum(size).alias("tokens_at_hand"))
-    every = got.agg(F.sum("tokens").alias("all_tokens"))
-    out = targets.join(got, source, "left").join(have, source, "left").join(F.broadcast(every))  # one row
+    out = targets.join(got, source, "left").join(have, source, "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # a row a target
     filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "uses", "records_used", "most_repeats", "records_at_hand", "tokens_at_hand")]
     goal, status = F.lit(0.0), F.lit("no records")
     for s in recipe.draws:
