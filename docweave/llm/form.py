@@ -241,7 +241,7 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks")
     found = equal_looking(bodies(chunks), "doc_id", "body")
     names = stored_names(chunks).withColumn("side", F.lit(0)).union(requested_names(table(spark, sf_dir, "duplicate_requests")).withColumn("side", F.lit(1)))
-    names = with_form(names.withColumn("t", F.md5("name")), "name", "f", "md5(form)", keep_text=False)
+    names = materialize(with_form(names.withColumn("t", F.md5("name")), "name", "f", "md5(form)", keep_text=False), "names")
     a = names.where("side = 0").select("f", "s", F.col("key").alias("key_a"), F.col("t").alias("ta"))
     b = names.where("side = 1").select("f", "s", F.col("key").alias("key_b"), F.col("t").alias("tb"))
     named = crossed(a, b, ["f", "s"]).where("ta <> tb").select("key_a", "key_b").distinct()
