@@ -126,6 +126,12 @@ def _postings(threshold: float, first: dict, after: dict, probe: list[int] | Non
     return each
 
 
+def _merged(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """a joined to b with both laid out by the key. Left to estimates, a side goes through the driver as a broadcast when its table is small as stored; but a stored name offers some two hundred runs,
+    and names pack many times over."""
+    return a.join(b.hint("merge"), on, how)
+
+
 POSTING = "run bigint, id bigint, place int, length int, edits int, bits int"
 
 
@@ -145,16 +151,16 @@ def similar_pairs(df: DataFrame, key: str, text: str, by: list, threshold: float
     x = cut.select("run", F.col("id").alias("a"), F.col("place").alias("pa"), F.col("length").alias("la"), "edits")
     y = offered.select("run", F.col("id").alias("b"), F.col("place").alias("pb"), F.col("length").alias("lb"))
     near = (F.abs(F.col("pa") - F.col("pb")) <= F.col("edits")) & (F.col("la") - F.col("lb") <= F.col("edits")) & ((F.col("lb") < F.col("la")) | (F.col("lb") == F.col("la")) & (F.col("a") < F.col("b")))
-    met = x.join(y, "run").where(near).select("a", "b").distinct()
+    met = _merged(x, y, "run").where(near).select("a", "b").distinct()
     plain = rows.select("id", "plain").dropDuplicates(["id"])
-    met = met.join(plain.select(F.col("id").alias("a"), F.col("plain").alias("ta")), "a").join(plain.select(F.col("id").alias("b"), F.col("plain").alias("tb")), "b")
+    met = _merged(_merged(met, plain.select(F.col("id").alias("a"), F.col("plain").alias("ta")), "a"), plain.select(F.col("id").alias("b"), F.col("plain").alias("tb")), "b")
     alike = met.where(similarity(F.col("ta"), F.col("tb")) > threshold).select("a", "b")
     alike = materialize(alike, "alike")
     left, right = (rows.select(F.col("id").alias(i), *(F.col(c).alias(f"{c}_{i}") for c in ("key", "text", *names))) for i in "ab")
-    pairs = alike.join(left, "a").join(right, "b")
+    pairs = _merged(_merged(alike, left, "a"), right, "b")
     many = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    same = rows.join(many, "id", "left_semi")
-    same = same.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("key", "text", *names))).join(same.select(F.col("id").alias("a"), F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("key", "text", *names))), "a")
+    same = _merged(rows, many, "id", "left_semi")
+    same = _merged(same.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("key", "text", *names))), same.select(F.col("id").alias("a"), F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("key", "text", *names))), "a")
     columns = [f"{c}_{i}" for i in "ab" for c in ("key", "text")]
     order_a, order_b = (F.struct(f"text_{i}", f"key_{i}") for i in "ab")
     agree = F.lit(True)

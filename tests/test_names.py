@@ -42,3 +42,19 @@ def test_no_text_has_fewer_segments_than_needed():
         assert 1 - e / n > 0.85 >= 1 - (e + 1) / n
         _, s = names.segments("a" * n, e, first, after)
         assert len(s) == e + 1 and all(x[1] <= y[0] for x, y in zip(s, s[1:], strict=False))
+
+
+def test_no_join_goes_through_the_driver_by_an_estimate(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("가나다라abcdefgh0123456789", k=40)) for _ in range(1500)]
+    texts += [t[:20] + "-" + t[20:] for t in texts[:300]] + texts[300:1500]
+    rows = [("k" * 3000 + str(i), t, "s") for i, t in enumerate(texts)]  # small as stored: keys pack well, and a text offers many runs
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "6m")
+    try:
+        got = names.similar_pairs(spark.createDataFrame(rows, "key string, text string, site string"), "key", "text", [F.col("site")]).selectExpr("substr(key_a, 3001)", "substr(key_b, 3001)").collect()
+    finally:
+        spark.conf.set(limit, before)
+    want = [{i, 1500 + i} for i in range(1500)]
+    assert sorted(sorted(map(int, r)) for r in got) == sorted(map(sorted, want))
